@@ -16,6 +16,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="maskspan-checkpoint-"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext.getCheckpointDir()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialises df once in the shared checkpoint folder, so that later actions neither recompute it nor lose it."""
     ensure_checkpoint_dir(df.sparkSession)
@@ -26,6 +31,17 @@ def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
+#: Bytes of ids (8 each) up to which an anti join broadcasts them; more are joined by shuffling both sides.
+BROADCAST_BYTES = 64 << 20
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents whose doc_id is not among the ids (doc_id bigint); rows without doc_id stay."""
+    ids = cut(ids.select(F.col("doc_id").alias("_gone")).distinct())
+    small = ids.count() * 8 <= BROADCAST_BYTES
+    return docs.join(F.broadcast(ids) if small else ids, docs["doc_id"].cast("bigint") == F.col("_gone"), "left_anti")
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """(u, v) bigint edges -> (node, root), root the least node of the component.  Alternates large-star and small-star
     steps, O(log n) rounds, each a pair of shuffles on the edges alone; no node's neighbours are ever gathered in memory.

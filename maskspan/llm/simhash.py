@@ -184,3 +184,8 @@ def duplicates(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataF
     of = reps.join(roots, reps.doc_id == roots.node, "left").select("s0", "s1", "n", F.coalesce("root", reps.doc_id).alias("duplicate_of"))
     groups = signed.join(of, ["s0", "s1", "n"]).select("doc_id", "duplicate_of")
     return groups.where("doc_id <> duplicate_of").distinct()
+
+
+def keep_one(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """The documents without the duplicates: of each group the one with the least doc_id stays."""
+    return _spark.without(docs, duplicates(docs, radius, tile))
