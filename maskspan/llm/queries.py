@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash, toxicity
+from . import simhash, substring, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,9 +19,14 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.passages(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_simhash": op3_simhash,
     "op6_toxicity": op6_toxicity,
+    "op10_substring": op10_substring,
 }
 
 SQL: dict[str, str] = {}
