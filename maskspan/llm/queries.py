@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, langid, lmscore, simhash, substring, toxicity
+from . import bpe, decontam, langid, licenses, lmscore, simhash, substring, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -45,6 +49,7 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op5_bpe": op5_bpe,
     "op6_toxicity": op6_toxicity,
+    "op8_licenses": op8_licenses,
     "op9_lm_score": op9_lm_score,
     "op10_substring": op10_substring,
 }
