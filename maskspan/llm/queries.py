@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, langid, licenses, lmscore, simhash, substring, toxicity
+from . import bpe, decontam, langid, licenses, lmscore, simhash, substring, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.classify(table(spark, sf_dir, "pages"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ QUERIES = {
     "op1_language_mixture": op1_language_mixture,
     "op2_decontamination": op2_decontamination,
     "op3_simhash": op3_simhash,
+    "op4_url_filter": op4_url_filter,
     "op5_bpe": op5_bpe,
     "op6_toxicity": op6_toxicity,
     "op8_licenses": op8_licenses,
@@ -54,4 +59,4 @@ QUERIES = {
     "op10_substring": op10_substring,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op4_url_filter": urls.sql()}
