@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, langid, licenses, lmscore, simhash, substring, toxicity, urls
+from . import bpe, decontam, langid, licenses, lmscore, simhash, substring, toxicity, urls, webp
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_webp_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no pictures: every vector of `embeddings` is written as a lossless WebP file, then decoded."""
+    return webp.pixels(webp.make_media(table(spark, sf_dir, "embeddings")), "vec_id", "media")
+
+
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -54,9 +59,10 @@ QUERIES = {
     "op4_url_filter": op4_url_filter,
     "op5_bpe": op5_bpe,
     "op6_toxicity": op6_toxicity,
+    "op7_webp_pixels": op7_webp_pixels,
     "op8_licenses": op8_licenses,
     "op9_lm_score": op9_lm_score,
     "op10_substring": op10_substring,
 }
 
-SQL: dict[str, str] = {"op4_url_filter": urls.sql()}
+SQL: dict[str, str] = {"op4_url_filter": urls.sql(), "op7_webp_pixels": webp.SQL}
