@@ -7,6 +7,8 @@ All steps are whole-buffer numpy operations, so the cost is a few nanoseconds pe
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -61,6 +63,19 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
+def release() -> None:
+    """Gives freed memory back to the system: a worker that is kept for later tasks would hold on to its peak."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # another C library
+    _trim = None
+
+
 def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES):
     """Cuts a record batch into row ranges of at most `limit` bytes of text (a longer single text is alone)."""
     at = batch.schema.get_field_index(column)
@@ -71,6 +86,7 @@ def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES):
         stop = min(n, max(stop, start + 1))
         yield batch.slice(start, stop - start)
         start = stop
+    release()
 
 
 def fold(raw: np.ndarray) -> np.ndarray:

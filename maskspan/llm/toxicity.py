@@ -36,6 +36,8 @@ SAMPLE = 2000
 MAX_LANDMARKS = 96
 #: A word whose kernel value with every landmark (relative to the landmark with itself) is below this counts as 0.
 FLOOR = 0.4
+#: Words of known value that a worker remembers (the others are reckoned again).
+REMEMBER = 1_000_000
 #: Letters that an insult may gain.
 SLACK = 3
 
@@ -236,7 +238,7 @@ class Model:
             r, m, k = marks.values(text, size)
             for i, j, x in zip(value[part[r]].tolist(), m.tolist(), k.tolist()):
                 rows.setdefault(i, {})[j] = x
-        if len(known) < 3_000_000:
+        if len(known) < REMEMBER:
             seen["hash"] = np.union1d(known, value[fresh])
         hot = seen.get("hot")
         if hot is None or len(hot) != len(rows):
