@@ -27,6 +27,11 @@ def empty(kind: str) -> Column:
     return F.array().cast(kind)
 
 
+def let(value: Column, body) -> Column:
+    """body(value), the value reckoned once: a lambda's variable, where a repeated column would be evaluated again and again."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def span(type_: Column, start: Column, end: Column, text: Column, confidence: Column, source: Column) -> Column:
     return F.struct(type_.alias("type"), start.cast("int").alias("start"), end.cast("int").alias("end"), text.alias("text"), confidence.cast("double").alias("confidence"), source.alias("source"))
 
@@ -94,12 +99,12 @@ def overlap(a: Column, b: Column) -> Column:
 
 def claim(hits: Column) -> Column:
     """Hits in order of priority; one that overlaps an earlier one is dropped."""
-    return F.aggregate(hits, F.filter(hits, lambda x: F.lit(False)), lambda acc, x: F.when(F.exists(acc, lambda y: overlap(x, y)), acc).otherwise(F.concat(acc, F.array(x))))
+    return let(hits, lambda v: F.aggregate(v, F.filter(v, lambda x: F.lit(False)), lambda acc, x: F.when(F.exists(acc, lambda y: overlap(x, y)), acc).otherwise(F.concat(acc, F.array(x)))))
 
 
 def without_overlap(items: Column, others: Column) -> Column:
     """The items that overlap none of the others."""
-    return F.filter(items, lambda x: ~F.exists(others, lambda y: overlap(x, y)))
+    return let(others, lambda o: F.filter(items, lambda x: ~F.exists(o, lambda y: overlap(x, y))))
 
 
 def number_hits(text: Column | str) -> Column:
@@ -109,8 +114,7 @@ def number_hits(text: Column | str) -> Column:
 
 def correct_entities(text: Column | str, entities: Column) -> Column:
     """D3: the hits, and the model's entities that overlap none, in the order (start, end, type)."""
-    hits = number_hits(text)
-    kept = F.concat(without_overlap(entities, hits), hits)
+    kept = let(number_hits(text), lambda hits: F.concat(without_overlap(entities, hits), hits))
     keyed = F.array_sort(F.transform(kept, lambda x: F.struct(x["start"].alias("s"), x["end"].alias("e"), x["type"].alias("t"), x.alias("x"))))
     return F.transform(keyed, lambda k: k["x"])
 
@@ -119,7 +123,7 @@ def dedupe(items: Column) -> Column:
     """Sorted by (start, end, falling confidence, order), the first of each (type, start, end)."""
     keyed = F.array_sort(F.transform(items, lambda x, i: F.struct(x["start"].alias("s"), x["end"].alias("e"), (-x["confidence"]).alias("c"), i.alias("i"), x.alias("x"))))
     same = lambda a, b: (a["type"] == b["type"]) & (a["start"] == b["start"]) & (a["end"] == b["end"])
-    return F.aggregate(F.transform(keyed, lambda k: k["x"]), F.filter(items, lambda x: F.lit(False)), lambda acc, x: F.when(F.exists(acc, lambda y: same(x, y)), acc).otherwise(F.concat(acc, F.array(x))))
+    return let(F.transform(keyed, lambda k: k["x"]), lambda v: F.aggregate(v, F.filter(v, lambda x: F.lit(False)), lambda acc, x: F.when(F.exists(acc, lambda y: same(x, y)), acc).otherwise(F.concat(acc, F.array(x)))))
 
 
 def shift(items: Column, by: Column, text: Column) -> Column:
@@ -159,14 +163,14 @@ def merge(items: Column) -> Column:
     length of what has been merged so far counting for it."""
 
     def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
+        last = F.try_element_at(acc, F.lit(-1))
         c, d = F.coalesce(x["confidence"], F.lit(0.0)), F.coalesce(last["confidence"], F.lit(0.0))
         wins = (c > d) | ((c == d) & (x["end"] - x["start"] > last["end"] - last["start"]))
         both = span(F.when(wins, x["type"]).otherwise(last["type"]), last["start"], F.greatest(last["end"], x["end"]), F.lit(None).cast("string"), F.when(wins, x["confidence"]).otherwise(last["confidence"]), last["source"])
-        return F.when(F.size(acc) == 0, F.array(x)).otherwise(F.when(x["start"] < F.try_element_at(acc, F.lit(-1))["end"], F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(both))).otherwise(F.concat(acc, F.array(x))))
+        return F.when(F.size(acc) == 0, F.array(x)).otherwise(F.when(x["start"] < last["end"], F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(both))).otherwise(F.concat(acc, F.array(x))))
 
     plain = F.transform(_ordered(items), lambda x: span(x["type"], x["start"], x["end"], x["text"], x["confidence"], x["source"]))
-    return F.when(F.size(items) > 0, F.aggregate(F.slice(plain, 2, F.greatest(F.size(plain), F.lit(1))), F.slice(plain, 1, 1).cast(SPANS), lambda acc, x: step(acc, x).cast(SPANS))).otherwise(empty(SPANS))
+    return let(plain.cast(SPANS), lambda v: F.aggregate(v, empty(SPANS), lambda acc, x: step(acc, x).cast(SPANS)))
 
 
 def merge_first_wins(items: Column) -> Column:
@@ -215,14 +219,13 @@ def splice(text: Column | str, merged: Column, mark=placeholder) -> Column:
 
 def mask(text: Column | str, items: Column) -> Column:
     """Repair, merge, splice."""
-    return splice(text, merge(repair(text, items)))
+    return let(merge(repair(text, items)), lambda m: splice(text, m))
 
 
 def redaction(text: Column | str, items: Column) -> Column:
     """struct(text, segments, count): the text with placeholders and a gap-free cover of it that says where each part
     comes from."""
     t = col(text)
-    merged = merge(repair(t, items))
     start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"), F.lit("").alias("out"), empty(SEGMENTS).alias("seg"))
 
     def segment(m0: Column, m1: Column, o0: Column, o1: Column, is_mask: bool) -> Column:
@@ -238,9 +241,9 @@ def redaction(text: Column | str, items: Column) -> Column:
     def finish(acc: Column) -> Column:
         rest = F.length(t) - acc["at"]
         tail = F.when(rest > 0, segment(acc["n"], acc["n"] + rest, acc["at"], F.length(t), False)).otherwise(empty(SEGMENTS))
-        return F.struct(F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.length(t))).alias("text"), F.concat(acc["seg"], tail).cast(SEGMENTS).alias("segments"), F.size(merged).alias("count"))
+        return F.struct(F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.length(t))).alias("text"), F.concat(acc["seg"], tail).cast(SEGMENTS).alias("segments"), F.lit(0).alias("count"))
 
-    return F.aggregate(merged, start, step, finish)
+    return let(merge(repair(t, items)), lambda merged: F.aggregate(merged, start, step, lambda acc: finish(acc).withField("count", F.size(merged))))
 
 
 def to_original(segments: Column, start: Column, end: Column) -> Column:

@@ -48,8 +48,8 @@ def scan(docs: DataFrame, pii: tuple[str, ...] = ("rules_pii",), injection: tupl
 
 def type_map(items):
     """A1 within a row: map<type, n> of an array of spans."""
-    kinds = F.array_sort(F.array_distinct(F.transform(items, lambda x: x["type"])))
-    return F.map_from_entries(F.transform(kinds, lambda t: F.struct(t, F.size(F.filter(items, lambda x: x["type"] == t)).cast("bigint"))))
+    kinds = lambda v: F.array_sort(F.array_distinct(F.transform(v, lambda x: x["type"])))
+    return S.let(items, lambda v: F.map_from_entries(F.transform(kinds(v), lambda t: F.struct(t, F.size(F.filter(v, lambda x: x["type"] == t)).cast("bigint")))))
 
 
 def safe_view(scanned: DataFrame) -> DataFrame:
