@@ -16,6 +16,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="maskspan-checkpoint-"))
 
 
+#: Bytes of an Arrow batch: two tasks' batches, in the JVM and in Python, have to fit beside an executor's heap.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's bound on the bytes of an Arrow batch to BATCH_BYTES; a lower one stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    text = spark.conf.get(name).strip().lower()
+    scale = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+    number = text.rstrip("b")
+    now = int(number[:-1]) * scale[number[-1]] if number[-1:] in scale else int(number)
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def shared_folder(spark: SparkSession) -> str:
     ensure_checkpoint_dir(spark)
     return spark.sparkContext.getCheckpointDir()

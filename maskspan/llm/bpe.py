@@ -26,6 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import _spark
 from ._text import buffers, chunks, ranges
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -272,6 +273,7 @@ def _encode(path: str):
 
 def encode(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """(doc_id, tokens, n_tokens, round_trip): every document's ids, and whether they decode to its text."""
+    _spark.bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_encode(path), "doc_id bigint, tokens array<int>, n_tokens int, round_trip boolean")
 
@@ -296,5 +298,6 @@ def _decode(path: str):
 
 def decode(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """(doc_id, text) of (doc_id, tokens); bytes that aren't UTF-8 become U+FFFD."""
+    _spark.bound_batches(encoded.sparkSession)
     rows = encoded.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("tokens").cast("array<int>").alias("tokens"))
     return rows.mapInArrow(_decode(path), "doc_id bigint, text string")

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import _spark
 from ._text import Words, chunks, fold, mix64, ranges
 
 MIN_ITEM_WORDS = 5
@@ -253,6 +254,7 @@ def _find(part: _Slice):
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, distance) of every document that holds a benchmark item."""
+    _spark.bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     schema = "doc_id bigint, item_id bigint, distance int"
     out = None
@@ -276,6 +278,7 @@ def _clean(part: _Slice, column: int):
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no benchmark item, all columns as they were."""
+    _spark.bound_batches(docs.sparkSession)
     out = docs
     for part in slices(benchmark):
         out = out.mapInArrow(_clean(part, docs.columns.index("text")), docs.schema)

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import _spark
 from ._text import Words, chunks, fold, ranges
 
 BUCKETS = 1 << 17
@@ -147,6 +148,7 @@ class Model:
 
 
 def train(docs: DataFrame) -> Model:
+    _spark.bound_batches(docs.sparkSession)
     rows = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang is not null and text is not null")
     got = rows.mapInArrow(_counts, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     names = got.column("lang").to_pylist()

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import _spark
 from ._text import Words, char_index, chunks, mix64
 
 CONTAINMENT = 0.8
@@ -186,5 +187,6 @@ def _scan(templates: dict[str, str]):
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     """(doc_id, license, containment, start, end): the best occurrence, in characters, of each license in each document."""
+    _spark.bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     return rows.mapInArrow(_scan(TEMPLATES if templates is None else templates), "doc_id bigint, license string, containment double, start int, end int")

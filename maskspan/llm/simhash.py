@@ -67,6 +67,7 @@ def _sign(batches):
 
 def signatures(docs: DataFrame) -> DataFrame:
     """(doc_id, n, s0, s1) of every document with at least one word."""
+    _spark.bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     return rows.mapInArrow(_sign, "doc_id bigint, n int, s0 bigint, s1 bigint").where("n > 0")
 
