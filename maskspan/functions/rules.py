@@ -16,6 +16,8 @@ class Rule(NamedTuple):
     confidence: float
     group: str = "whole"
     validator: str | None = None
+    #: A pattern that is quick to look for and without which the rule can't match.
+    needs: str | None = None
 
 
 PII_TYPES = ("PERSON_NAME", "EMAIL", "PHONE", "ADDRESS", "ID_NUMBER", "CREDIT_CARD", "DATE_OF_BIRTH", "ORGANIZATION", "BANK_ACCOUNT", "OTHER_PII")
@@ -47,13 +49,13 @@ PII_RULES: tuple[Rule, ...] = (
     Rule("CREDIT_CARD", _word(_GAP.join([_FOUR] * 4)), 0.9, validator="luhn"),
     Rule("PHONE", _word(r"01[016-9]" + _DOT + r"\d{3,4}" + _DOT + _FOUR), 0.95),
     Rule("PHONE", _word(r"0(?:2|[3-6][0-5])" + _DOT + r"\d{3,4}" + _DOT + _FOUR), 0.8),
-    Rule("EMAIL", _word(r"[a-zA-Z\d._%+\-]+@[a-zA-Z\d.\-]+\.[a-zA-Z]{2,}"), 0.97),
+    Rule("EMAIL", _word(r"[a-zA-Z\d._%+\-]+@[a-zA-Z\d.\-]+\.[a-zA-Z]{2,}"), 0.97, needs="@"),
     Rule("BANK_ACCOUNT", "(?i)" + _any("계좌번호", "계좌", "입금", "송금", "account") + _S + "(?:번호)?" + _S + "[:：]?" + _S + r"(\d{2,6}[-\s]\d{2,6}" + _GAP + r"\d{0,6})", 0.85, "suffix"),
     Rule("DATE_OF_BIRTH", r"\b(?:19|20)\d\d" + _S + "[./년-]" + _S + r"\d{1,2}" + _S + "[./월-]" + _S + r"\d{1,2}" + _S + "일?", 0.55),
     Rule("PERSON_NAME", _any("고객명", "담당자", "성명", "성함", "이름") + _S + "[:：]?" + _S + f"([{_HANGUL}]{{2,4}})(?![{_HANGUL}])", 0.8, "suffix"),
-    Rule("PERSON_NAME", rf"\b([{_HANGUL}]{{2,4}})" + _S + _any("귀하", "드림", "님", "씨") + r"\b", 0.5, "prefix"),
-    Rule("ADDRESS", f"[{_HANGUL}]+{_PROVINCE}\\s?[{_HANGUL}]+[시군구]\\s?[{_HANGUL}\\d]+[로길]\\s?\\d+(?:-\\d+)?(?:\\s?\\d+동)?(?:\\s?\\d+호)?", 0.75),
-    Rule("ORGANIZATION", _word(f"[{_HANGUL}a-zA-Z\\d]+" + _any("위원회", "협회", "재단", "연구원", "공단", "공사", "보험", "병원", "대학병원", "대학교", "카드", "증권", "은행", "전자", "㈜", "주식회사")), 0.5),
+    Rule("PERSON_NAME", rf"\b([{_HANGUL}]{{2,4}})" + _S + _any("귀하", "드림", "님", "씨") + r"\b", 0.5, "prefix", needs=f"[{_HANGUL}]"),
+    Rule("ADDRESS", f"[{_HANGUL}]+{_PROVINCE}\\s?[{_HANGUL}]+[시군구]\\s?[{_HANGUL}\\d]+[로길]\\s?\\d+(?:-\\d+)?(?:\\s?\\d+동)?(?:\\s?\\d+호)?", 0.75, needs=f"[{_HANGUL}]"),
+    Rule("ORGANIZATION", _word(f"[{_HANGUL}a-zA-Z\\d]+" + _any("위원회", "협회", "재단", "연구원", "공단", "공사", "보험", "병원", "대학병원", "대학교", "카드", "증권", "은행", "전자", "㈜", "주식회사")), 0.5, needs=f"[㈜{_HANGUL}]"),
 )
 
 
@@ -87,7 +89,7 @@ INJECTION_RULES: tuple[Rule, ...] = (
     Rule("HIDDEN_COMMAND", "(?is)<!--.*?" + _any("ignore", "instruction", "명령", "무시") + ".*?-->", 0.85),
     Rule("HIDDEN_COMMAND", "(?is)<font" + _SP + "color" + _S + "=" + _S + "[\"']?white[\"']?" + _S + ">.*?</font>", 0.8),
     Rule("DATA_EXFILTRATION", _any("이" + _S + "대화", "위") + "의?" + _S + "(?:모든" + _S + ")?" + _any("개인정보", "내용") + _OBJ + _S + "(?:요약)?.{0,15}" + _any("나열", "보내", "알려", "전달", "전송", "출력"), 0.8),
-    Rule("DATA_EXFILTRATION", "(?:업로드된?" + _S + ")?" + _any("문서", "파일") + "의?" + _S + "(?:내용)?" + _OBJ + _S + "(?:모두" + _S + ")?나열", 0.75),
+    Rule("DATA_EXFILTRATION", "(?:업로드된?" + _S + ")?" + _any("문서", "파일") + "의?" + _S + "(?:내용)?" + _OBJ + _S + "(?:모두" + _S + ")?나열", 0.75, needs=f"[{_HANGUL}]"),
     Rule("DATA_EXFILTRATION", _english("send", _SP, r"(?:a\s+)?", _any("summary", r"the\s+data", r"all\s+.{0,20}"), _SP, "to", _SP, "https?://"), 0.85),
     Rule("DATA_EXFILTRATION", _english("list", _SP, "all", _SP, _any("confidential", "data", r"personal\s+information")), 0.8),
 )

@@ -40,7 +40,7 @@ def cut(text: Column, start: Column, end: Column) -> Column:
     return F.substring(text, start + 1, end - start)
 
 
-def matches(text: Column | str, pattern: str, group: str = "whole") -> Column:
+def matches(text: Column | str, pattern: str, group: str = "whole", needs: str | None = None) -> Column:
     """Offsets of all matches.  Spark has the matches and the pieces between them; a fold adds up their lengths.
     Texts without a match, nearly all of them, never reach the fold."""
     t, p = col(text), F.lit(pattern)
@@ -56,7 +56,10 @@ def matches(text: Column | str, pattern: str, group: str = "whole") -> Column:
         last = lo + F.length(x["part"]) if group == "prefix" else hi
         return F.struct(hi.alias("at"), F.concat(acc["out"], F.array(F.struct(first.alias("start"), last.alias("end"), x["part"].alias("text")))).alias("out"))
 
-    return F.when(t.rlike(pattern), F.aggregate(zipped, start, step, lambda acc: acc["out"])).otherwise(empty(OFFSETS))
+    there = t.rlike(pattern)
+    if needs is not None:
+        there = (t.contains(needs) if len(needs) == 1 else t.rlike(needs)) & there
+    return F.when(there, F.aggregate(zipped, start, step, lambda acc: acc["out"])).otherwise(empty(OFFSETS))
 
 
 def digits(text: Column) -> Column:
@@ -86,7 +89,7 @@ def rule_spans(text: Column | str, rules: Sequence[R.Rule] = R.PII_RULES, source
 
 
 def _rule_spans(text: Column | str, rule: R.Rule, source: str) -> Column:
-    found = matches(text, rule.pattern, rule.group)
+    found = matches(text, rule.pattern, rule.group, rule.needs)
     if rule.validator:
         check = luhn if rule.validator == "luhn" else rrn
         found = F.filter(found, lambda x: check(x["text"]))

@@ -13,6 +13,16 @@ from ..functions import spans as S
 from . import segment
 
 
+#: Bytes up to which an input is dealt out anew: a small file can be one row group, which one core would scan alone.
+SPREAD_BYTES = 256 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deals a small input out to all cores before costly expressions; a large one has row groups enough and isn't shuffled."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SPREAD_BYTES else df
+
+
 class Detector:
     """gives a DataFrame's `text` column an array of spans.  ready() is False while a model's files are missing."""
 

@@ -17,7 +17,7 @@ def scan(docs: DataFrame, pii: tuple[str, ...] = ("rules_pii",), injection: tupl
     """
     if policy not in ("mask", "block"):
         raise ValueError("the policy is mask or block")
-    df = docs
+    df = detect.spread(docs)
     if "scan_status" not in df.columns:
         df = df.withColumn("scan_status", F.lit("ok"))
     if "reason" not in df.columns:

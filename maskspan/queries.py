@@ -115,19 +115,19 @@ def card_luhn_valid(spark, sf_dir):
 @query("rule_table_spans")
 def rule_table_spans(spark, sf_dir):
     """Korean rules need lookaheads: compared with Python's re in the tests."""
-    found = detect.detector("rules_pii").spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = detect.detector("rules_pii").spans(detect.spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return detect.explode_spans(found, "doc_id")
 
 
 @query("injection_rule_spans")
 def injection_rule_spans(spark, sf_dir):
-    found = detect.detector("rules_injection").spans(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"))
+    found = detect.detector("rules_injection").spans(detect.spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")))
     return detect.explode_spans(found, "conv_id", "turn")
 
 
 @query("regex_claim_spans")
 def regex_claim_spans(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", S.correct_entities("text", S.rule_spans("text", (EMAIL, DIGITS))).alias("spans"))
+    docs = detect.spread(table(spark, sf_dir, "documents")).select("doc_id", S.correct_entities("text", S.rule_spans("text", (EMAIL, DIGITS))).alias("spans"))
     return detect.explode_spans(docs, "doc_id")
 
 
@@ -142,7 +142,7 @@ def html_hidden_commands(spark, sf_dir):
 
 @query("page_text_scan")
 def page_text_scan(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), detect.hidden_text(F.col("html")).alias("text"))
+    pages = detect.spread(table(spark, sf_dir, "pages").select("page_id", "html")).select(F.col("page_id").alias("doc_id"), detect.hidden_text(F.col("html")).alias("text"))
     return scan.safe_view(scan.scan(pages)).select("doc_id", "detection_count", "recommended_action", F.md5("masked_text").alias("digest"))
 
 
