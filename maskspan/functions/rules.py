@@ -20,8 +20,22 @@ class Rule(NamedTuple):
     needs: str | None = None
 
 
-PII_TYPES = ("PERSON_NAME", "EMAIL", "PHONE", "ADDRESS", "ID_NUMBER", "CREDIT_CARD", "DATE_OF_BIRTH", "ORGANIZATION", "BANK_ACCOUNT", "OTHER_PII")
-INJECTION_TYPES = ("INSTRUCTION_OVERRIDE", "ROLE_MANIPULATION", "SYSTEM_PROMPT_LEAK", "JAILBREAK", "HIDDEN_COMMAND", "DATA_EXFILTRATION", "OTHER_INJECTION")
+#: type -> its Korean name in a placeholder
+TYPE_LABEL = dict(
+    pair.split(":") for pair in "ADDRESS:주소 BANK_ACCOUNT:계좌번호 CREDIT_CARD:카드번호 DATE_OF_BIRTH:생년월일 EMAIL:이메일 ID_NUMBER:신분증번호 ORGANIZATION:기관명 OTHER_PII:개인정보 PERSON_NAME:이름 PHONE:전화번호".split()
+)
+PII_TYPES = tuple(TYPE_LABEL)
+#: injection type -> its name in the review panel
+INJECTION_NAME = {
+    "DATA_EXFILTRATION": "데이터 유출 시도",
+    "HIDDEN_COMMAND": "숨겨진 명령",
+    "INSTRUCTION_OVERRIDE": "명령 재정의",
+    "JAILBREAK": "탈옥 시도",
+    "OTHER_INJECTION": "인젝션",
+    "ROLE_MANIPULATION": "역할 조작",
+    "SYSTEM_PROMPT_LEAK": "시스템 프롬프트 유출",
+}
+INJECTION_TYPES = tuple(INJECTION_NAME)
 
 _GAP = r"[-\s]?"
 _DOT = r"[-\s.]?"
@@ -132,12 +146,11 @@ LABEL_TYPE = {
 
 UNKNOWN_LABEL = "개인정보"
 INJECTION_LABEL = "인젝션"
-TYPE_LABEL = dict(zip(PII_TYPES, "이름 이메일 전화번호 주소 신분증번호 카드번호 생년월일 기관명 계좌번호 개인정보".split()))
 
 #: The review panel's names, also of the model's labels; an unknown type is its own name.
 PANEL_LABEL = {
     **TYPE_LABEL,
-    **dict(zip(INJECTION_TYPES, ("명령 재정의", "역할 조작", "시스템 프롬프트 유출", "탈옥 시도", "숨겨진 명령", "데이터 유출 시도", "인젝션"))),
+    **INJECTION_NAME,
     **dict(
         pair.split(":")
         for pair in "DT_BIRTH:생년월일 FD_MAJOR:전공 QT_AGE:나이 QT_PASSPORT_NUMBER:여권번호 TMI_EMAIL:이메일 QT_CARD_NUMBER:카드번호 QT_ACCOUNT_NUMBER:계좌번호 QT_PLATE_NUMBER:차량번호 QT_DRIVER_NUMBER:운전면허번호 QT_ALIEN_NUMBER:외국인등록번호 QT_RESIDENT_NUMBER:주민등록번호 QT_PHONE:전화번호 QT_MOBILE:휴대폰번호 OGG_EDUCATION:학력 CV_POSITION:직위 OG_DEPARTMENT:부서명 OG_WORKPLACE:근무지 LC_ADDRESS:주소 PS_NAME:이름".split()

@@ -316,11 +316,10 @@ def find_phrase(text: Column | str, phrase: Column | str) -> Column:
     t, p = col(text), col(phrase)
     exact = F.position(p, t) - 1
     bare = F.regexp_replace(p, r"(?U)\s", "")
-    chars = F.split(t, "")
-    index = F.filter(F.sequence(F.lit(0), F.greatest(F.length(t) - 1, F.lit(0))), lambda i: ~F.get(chars, i).rlike(r"^(?U)\s$"))
-    stripped = F.regexp_replace(t, r"(?U)\s", "")
-    at = F.position(bare, stripped) - 1
-    loose = F.struct(F.get(index, at).cast("int").alias("start"), (F.get(index, at + F.length(bare) - 1) + 1).cast("int").alias("end"))
+    marked = F.transform(F.split(t, ""), lambda c, i: F.when(~c.rlike(r"^(?U)\s$"), i))
+    index = F.filter(marked, lambda i: i.isNotNull())
+    at = F.position(bare, F.regexp_replace(t, r"(?U)\s", "")) - 1
+    loose = let(index, lambda v: F.struct(F.get(v, at).cast("int").alias("start"), (F.get(v, at + F.length(bare) - 1) + 1).cast("int").alias("end")))
     return F.when(p.isNull() | t.isNull(), None).when(exact >= 0, F.struct(exact.cast("int").alias("start"), (exact + F.length(p)).cast("int").alias("end"))).when((F.length(bare) > 0) & (at >= 0), loose)
 
 

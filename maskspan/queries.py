@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import rules as R
 from .functions import spans as S
-from .operators import detect, gazetteer, jobs, segment, stats
+from .operators import detect, gazetteer, jobs, segment, stats, tagging
 from .plans import scan
 
 #: Rules without lookarounds, that RE2 reads as Java does.
@@ -459,6 +459,78 @@ def host_config(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", pick.alias("config"))
 
 
+# ---- scalar operators
+
+
+@query("placeholder_labels", "SELECT * FROM (VALUES " + ", ".join(f"('{t}', '[{R.INJECTION_LABEL if t in R.INJECTION_TYPES else R.TYPE_LABEL.get(t, R.UNKNOWN_LABEL)} 마스킹]', '{R.PANEL_LABEL.get(t, t)}', '{R.LABEL_TYPE.get(t, 'OTHER_PII')}')" for t in (*R.PANEL_LABEL, "SOMETHING")) + ") t(type, placeholder, panel, mapped)")
+def placeholder_labels(spark, sf_dir):
+    types = spark.createDataFrame([(t,) for t in (*R.PANEL_LABEL, "SOMETHING")], "type string")
+    return types.select("type", S.placeholder("type").alias("placeholder"), S.panel_label("type").alias("panel"), S.entity_type("type").alias("mapped"))
+
+
+@query("format_sizes", "SELECT doc_id, CASE WHEN b >= 1073741824 THEN printf('%.2f GB', round(b / 1073741824.0, 2)) WHEN b >= 1048576 THEN printf('%.1f MB', round(b / 1048576.0, 1)) WHEN b >= 1024 THEN round(b / 1024.0)::BIGINT || ' KB' ELSE b || ' B' END AS size FROM (SELECT doc_id, n_chars * 1000 AS b FROM documents)")
+def format_sizes(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", S.format_bytes(F.col("n_chars") * 1000).alias("size"))
+
+
+@query("cache_keys", "SELECT conv_id, turn, sha256(role || chr(0) || text) AS key FROM conversations")
+def cache_keys(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", S.cache_key("role", "text").alias("key"))
+
+
+@query("sample_seeds", "SELECT doc_id, xor(('0x' || substr(sha256(doc_id::VARCHAR), 9, 8))::BIGINT, 42::BIGINT) AS seed FROM documents")
+def sample_seeds(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", stats.sample_seed(F.col("doc_id").cast("string"), 42).alias("seed"))
+
+
+@query("class_scores", "SELECT vec_id, round(exp(a - 0.2) / (exp(a - 0.2) + exp(b) + exp(c)), 6) AS p0, round(exp(b) / (exp(a - 0.2) + exp(b) + exp(c)), 6) AS p1, round(exp(c) / (exp(a - 0.2) + exp(b) + exp(c)), 6) AS p2 FROM (SELECT vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, embedding[3]::DOUBLE AS c FROM embeddings)")
+def class_scores(spark, sf_dir):
+    logits = F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double"))
+    p = table(spark, sf_dir, "embeddings").select("vec_id", stats.softmax(logits, -0.2, 0).alias("p"))
+    return p.select("vec_id", *(F.round(F.col("p")[k], 6).alias(f"p{k}") for k in range(3)))
+
+
+@query("drift_stats", "SELECT count(*) AS n, round(avg((a.label <> b.label)::INTEGER), 6) AS flip_rate, round(avg(abs(a.embedding[1]::DOUBLE - b.embedding[1]::DOUBLE)), 6) AS mean_delta, round(max(abs(a.embedding[1]::DOUBLE - b.embedding[1]::DOUBLE)), 6) AS max_delta FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def drift_stats(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding")[0].cast("double").alias("score"))
+    b = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("label").alias("label_b"), F.col("score").alias("score_b"))
+    return stats.drift(e.withColumnsRenamed({"label": "label_a", "score": "score_a"}).join(b, "vec_id"))
+
+
+@query("seed_vote", f'SELECT doc_id, start, "end", count(DISTINCT rule)::BIGINT AS seeds FROM ({sql_spans(CARD, DIGITS, TOKEN)}) GROUP BY doc_id, start, "end" HAVING count(DISTINCT rule) >= 2')
+def seed_vote(spark, sf_dir):
+    """Three detectors as three seeds: the spans that two agree on."""
+    docs = table(spark, sf_dir, "documents")
+    found = None
+    for k, rule in enumerate((CARD, DIGITS, TOKEN)):
+        one = spans_of(docs, rule).withColumn("seed", F.lit(k))
+        found = one if found is None else found.unionByName(one)
+    return stats.vote(found, ["doc_id", "start", "end"])
+
+
+@query("locate_phrases")
+def locate_phrases(spark, sf_dir):
+    """The end of each document's first line and the start of its second, quoted with a space for the line's end."""
+    phrase = F.regexp_extract("text", r"(\S+\n\S+)", 1)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.translate(phrase, "\n", " ").alias("phrase")).where("phrase <> ''")
+    return docs.select("doc_id", S.find_phrase("text", "phrase").alias("r")).select("doc_id", "r.start", "r.end")
+
+
+@query("viterbi_tags")
+def viterbi_tags(spark, sf_dir):
+    """Each embedding as the emissions of 12 words with 5 tags."""
+    rows = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda k: F.transform(F.slice("embedding", k * 5 + 1, 5), lambda x: x.cast("double")))
+    return table(spark, sf_dir, "embeddings").select("vec_id", tagging.decode(rows, ["A", "B"]).alias("tags"))
+
+
+@query("three_state_injections")
+def three_state_injections(spark, sf_dir):
+    """Conversations as flagged texts with a localizer's answers of all kinds."""
+    answer = F.element_at(F.array(F.lit('{"spans": []}'), F.lit("none"), F.concat(F.lit('{"spans": ["'), F.regexp_extract("text", r"([A-Za-z]+)", 1), F.lit('"]}'))), (F.col("turn") % 3 + 1).cast("int"))
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", S.injection_spans("text", S.answer_phrases(answer), F.lit(True)).alias("spans"))
+    return detect.explode_spans(c, "conv_id", "turn")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detect, merge, mask and count: one row a document."""
     done = scan.scan(table(spark, sf_dir, "documents"))
