@@ -28,7 +28,7 @@ _HASH = 0x1E35A7BD
 _OPAQUE = 0xFF000000
 
 
-def _near() -> list[tuple[int, int]]:
+def _near():
     """The 120 short distances (x, y), nearest first, in the specification's order."""
     text = (
         "0,1 1,0 1,1 -1,1 0,2 2,0 1,2 -1,2 2,1 -2,1 2,2 -2,2 0,3 3,0 1,3 -1,3 3,1 -3,1 2,3 -2,3 3,2 -3,2 0,4 4,0 1,4 -1,4 4,1 -4,1 3,3 -3,3 2,4 -2,4 4,2 -4,2 0,5 "
