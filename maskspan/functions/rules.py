@@ -41,6 +41,8 @@ _GAP = r"[-\s]?"
 _DOT = r"[-\s.]?"
 _S = r"\s*"
 _FOUR = r"\d{4}"
+_SIX = r"\d{6}"
+_RUN = r"\d{2,6}"
 _HANGUL = "가-힣"
 
 
@@ -62,9 +64,9 @@ PII_RULES: tuple[Rule, ...] = (
     Rule("ID_NUMBER", _word(r"[DMORSdmors]\d{8}"), 0.6),
     Rule("CREDIT_CARD", _word(_GAP.join([_FOUR] * 4)), 0.9, validator="luhn"),
     Rule("PHONE", _word(r"01[016-9]" + _DOT + r"\d{3,4}" + _DOT + _FOUR), 0.95),
-    Rule("PHONE", _word(r"0(?:2|[3-6][0-5])" + _DOT + r"\d{3,4}" + _DOT + _FOUR), 0.8),
+    Rule("PHONE", _word(r"0(?:[3-6][0-5]|2)" + _DOT + r"\d{3,4}" + _DOT + _FOUR), 0.8),
     Rule("EMAIL", _word(r"[a-zA-Z\d._%+\-]+@[a-zA-Z\d.\-]+\.[a-zA-Z]{2,}"), 0.97, needs="@"),
-    Rule("BANK_ACCOUNT", "(?i)" + _any("계좌번호", "계좌", "입금", "송금", "account") + _S + "(?:번호)?" + _S + "[:：]?" + _S + r"(\d{2,6}[-\s]\d{2,6}" + _GAP + r"\d{0,6})", 0.85, "suffix"),
+    Rule("BANK_ACCOUNT", "(?i)" + _any("계좌번호", "계좌", "입금", "송금", "account") + _S + "(?:번호)?" + _S + "[:：]?" + _S + "(" + _RUN + r"[-\s]" + _RUN + _GAP + r"\d{0,6})", 0.85, "suffix"),
     Rule("DATE_OF_BIRTH", r"\b(?:19|20)\d\d" + _S + "[./년-]" + _S + r"\d{1,2}" + _S + "[./월-]" + _S + r"\d{1,2}" + _S + "일?", 0.55),
     Rule("PERSON_NAME", _any("고객명", "담당자", "성명", "성함", "이름") + _S + "[:：]?" + _S + f"([{_HANGUL}]{{2,4}})(?![{_HANGUL}])", 0.8, "suffix"),
     Rule("PERSON_NAME", rf"\b([{_HANGUL}]{{2,4}})" + _S + _any("귀하", "드림", "님", "씨") + r"\b", 0.5, "prefix", needs=f"[{_HANGUL}]"),
@@ -121,9 +123,9 @@ _PLATE_KANA = "".join("가나다라마바사아자차카타파하 거너더러
 NUMBER_RULES: tuple[tuple[str, str], ...] = (
     ("QT_DRIVER_NUMBER", _alone("-".join([r"\d{2}", r"\d{2}", r"\d{6}", r"\d{2}"]))),
     ("QT_CARD_NUMBER", _alone(r"[-\s]".join([_FOUR] * 4))),
-    ("QT_RESIDENT_NUMBER", _alone(r"\d{6}-[1-4]\d{6}")),
-    ("QT_ALIEN_NUMBER", _alone(r"\d{6}-[5-9]\d{6}")),
-    ("QT_ALIEN_NUMBER", r"(?<![\dA-Z])[A-Z]\d{12}(?![\dA-Z])"),
+    ("QT_RESIDENT_NUMBER", _alone("-[1-4]".join([_SIX] * 2))),
+    ("QT_ALIEN_NUMBER", _alone("-[5-9]".join([_SIX] * 2))),
+    ("QT_ALIEN_NUMBER", r"(?<![\dA-Z])[A-Z]" + _SIX * 2 + r"(?![\dA-Z])"),
     ("QT_MOBILE", _alone("01[016-9]" + _GAP + r"\d{3,4}" + _GAP + _FOUR)),
     ("QT_PHONE", _alone(r"0(?:2|[3-9]\d)-\d{3,4}-" + _FOUR)),
     ("QT_PLATE_NUMBER", "(?:" + _any(*_REGION_LONG, *_REGION_SHORT) + _SP + r")?\d{2,3}[" + _PLATE_KANA + r"]\s?" + _FOUR + r"(?!\d)"),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FORBIDDEN = {"text", "original_text", "masked_text", "content", "chunk_text"}
-STAGE_OF_STEP = {1: "parse", 2: "pii", 4: "injection", 5: "mask"}
+STAGE_OF_STEP = dict(zip((1, 2, 4, 5), "parse pii injection mask".split()))
 
 
 def check_private(df: DataFrame) -> DataFrame:

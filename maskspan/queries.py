@@ -98,7 +98,7 @@ def even_segments(spark, sf_dir):
 def _detect(name: str, rule: R.Rule) -> None:
     @query(name, f'SELECT doc_id, type, start, "end", txt AS text, conf AS confidence FROM ({sql_spans(rule)})')
     def run(spark, sf_dir):
-        return spans_of(table(spark, sf_dir, "documents"), rule).select("doc_id", "type", "start", "end", "text", "confidence")
+        return spans_of(table(spark, sf_dir, "documents"), rule).select("doc_id", "text", "type", "confidence", "start", "end")
 
 
 for _name, _rule in (("detect_email", EMAIL), ("detect_card", CARD), ("detect_mobile", MOBILE), ("detect_passport", PASSPORT), ("detect_dob", BIRTH), ("detect_token", TOKEN)):

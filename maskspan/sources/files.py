@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.spans import extension, masked_name
 
-DOCUMENTS = (".docx", ".hwp", ".hwpx", ".pdf", ".pptx", ".xlsx")
+DOCUMENTS = tuple(".pdf .pptx .xlsx .hwpx .hwp .docx".split())
 TEXTS = (".c", ".cfg", ".cpp", ".css", ".csv", ".env", ".go", ".html", ".ini", ".java", ".js", ".json", ".log", ".md", ".py", ".rs", ".sh", ".sql", ".toml", ".ts", ".tsv", ".txt", ".xml", ".yaml", ".yml")
 MIME = {
     ".docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document",
@@ -41,6 +41,10 @@ REASONS = {
 }
 UPLOAD_BYTES = 20 << 20
 
+_BAR = " | "
+_RULE = "\n\n---\n\n"
+_HEAD = "<?xml version='1.0' standalone='yes'?>"
+
 
 def scan_folder(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     """(path, file_name, length, modified, content) of all files below root; content is read only if it is used.  Spark leaves
@@ -85,7 +89,7 @@ def folder_size(files: DataFrame) -> DataFrame:
 
 def decode_text(data: bytes) -> str:
     """S3: UTF-8, else the Korean code pages, else UTF-8 with replacements."""
-    for name in ("utf-8", "cp949", "euc-kr"):
+    for name in "utf-8 cp949 euc-kr".split():
         try:
             return data.decode(name)
         except UnicodeDecodeError:
@@ -122,8 +126,7 @@ def docx_text(data: bytes) -> str:
     for table in (x for x in body if _local(x.tag) == "tbl"):
         for row in _find(table, "tr"):
             cells = [t for c in row if _local(c.tag) == "tc" and (t := "\n".join(_plain(p) for p in _find(c, "p")).strip())]
-            if cells:
-                parts.append(" | ".join(cells))
+            parts += [_BAR.join(cells)] if cells else []
     return "\n\n".join(parts)
 
 
@@ -146,10 +149,9 @@ def xlsx_text(data: bytes) -> str:
                     text = shared[int(value)] if kind == "s" and value else _plain(c) if kind == "inlineStr" else value
                     if text.strip():
                         cells.append(text.strip())
-                if cells:
-                    lines.append(" | ".join(cells))
+                lines += [_BAR.join(cells)] if cells else []
             out.append("\n".join(lines))
-    return "\n\n---\n\n".join(out)
+    return _RULE.join(out)
 
 
 def pptx_text(data: bytes) -> str:
@@ -163,8 +165,7 @@ def pptx_text(data: bytes) -> str:
             for row in _find(root, "tr"):
                 cells = [t for c in _find(row, "tc") if (t := " ".join(_plain(p) for p in _find(c, "p")).strip())]
                 lines = [x for x in lines if x not in cells]
-                if cells:
-                    lines.append(" | ".join(cells))
+                lines += [_BAR.join(cells)] if cells else []
             if lines:
                 out.append(f"[슬라이드 {k}]\n" + "\n".join(lines))
     return "\n\n".join(out)
@@ -174,7 +175,7 @@ _BINARY = {".docx": docx_text, ".xlsx": xlsx_text, ".pptx": pptx_text}
 _EXTENSION_OF = {v: k for k, v in MIME.items()}
 
 
-def parse_one(data: bytes | None, mime: str | None, name: str | None) -> tuple[str, str, str | None]:
+def parse_one(data, mime, name):
     """By extension, else by MIME type, else as text; never raises."""
     base = (name or "").rpartition("/")[2].lstrip(".").lower()
     ext = "." + base.rpartition(".")[2] if "." in base else _EXTENSION_OF.get(mime or "", "")
@@ -197,7 +198,7 @@ def parse(files: DataFrame) -> DataFrame:
         for content, kind, name in batches:
             yield pd.DataFrame([parse_one(c, m, n) for c, m, n in zip(content, kind, name)], columns=["text", "scan_status", "reason"])
 
-    plain = ~ext.isin(*_BINARY, *REASONS) & ~F.coalesce(mime, F.lit("")).isin(*(MIME[x] for x in (".docx", ".xlsx", ".pptx", ".pdf", ".hwp", ".hwpx"))) & F.is_valid_utf8(F.col("content").cast("string"))
+    plain = ~ext.isin(*_BINARY, *REASONS) & ~F.coalesce(mime, F.lit("")).isin(*(MIME[x] for x in DOCUMENTS)) & F.is_valid_utf8(F.col("content").cast("string"))
     simple = F.struct(F.col("content").cast("string").alias("text"), F.lit("ok").alias("scan_status"), F.lit(None).cast("string").alias("reason"))
     # a file that the JVM has read goes to Python as null
     parsed = files.withColumn("_plain", F.coalesce(plain, F.lit(False))).withColumn("_other", others(F.when(~F.col("_plain"), F.col("content")), mime, F.when(~F.col("_plain"), F.col("file_name"))))
@@ -227,19 +228,25 @@ def _docx(text: str) -> bytes:
     """K3: a paragraph a line."""
     from xml.sax.saxutils import escape
 
-    w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
-    font = '<w:rPr><w:rFonts w:ascii="Malgun Gothic" w:hAnsi="Malgun Gothic" w:eastAsia="Malgun Gothic"/></w:rPr>'
-    lines = "".join(f'<w:p><w:r>{font}<w:t xml:space="preserve">{escape(x)}</w:t></w:r></w:p>' if x.strip() else "<w:p/>" for x in text.split("\n"))
+    def node(name: str, inside: str = "", **attributes: str) -> str:
+        return f"<{name}" + "".join(f' {k.replace("_", ":")}="{v}"' for k, v in attributes.items()) + f">{inside}</{name}>"
+
+    site = "http://schemas.openxmlformats.org"
+    kind = "application/vnd.openxmlformats-{}+xml".format
+    font = node("w:rPr", node("w:rFonts", **dict.fromkeys(("w_ascii", "w_hAnsi", "w_eastAsia"), "Malgun Gothic")))
+    lines = "".join(node("w:p", node("w:r", font + node("w:t", escape(x), xml_space="preserve")) if x.strip() else "") for x in text.split("\n"))
+    types = node("Default", Extension="rels", ContentType=kind("package.relationships")) + node("Override", PartName="/word/document.xml", ContentType=kind("officedocument.wordprocessingml.document.main"))
+    link = node("Relationship", Id="rId1", Type=f"{site}/officeDocument/2006/relationships/officeDocument", Target="word/document.xml")
     parts = {
-        "[Content_Types].xml": '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/></Types>',
-        "_rels/.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="word/document.xml"/></Relationships>',
-        "word/document.xml": f'<w:document xmlns:w="{w}"><w:body>{lines}</w:body></w:document>',
+        "[Content_Types].xml": node("Types", types, xmlns=f"{site}/package/2006/content-types"),
+        "_rels/.rels": node("Relationships", link, xmlns=f"{site}/package/2006/relationships"),
+        "word/document.xml": node("w:document", node("w:body", lines), xmlns_w=f"{site}/wordprocessingml/2006/main"),
     }
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         for name, body in parts.items():
             # a fixed time: equal texts give equal files
-            z.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>' + body)
+            z.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), _HEAD + body)
     return out.getvalue()
 
 

@@ -212,7 +212,7 @@ def test_phrases_and_answers(spark):
     cases = [("hello  big\nworld", "big world", (7, 16)), ("abc", "x", None), ("abc", " ", (None if " " not in "abc" else 0)), ("a b c", "b c", (2, 5)), ("abc", "c", (2, 3)), ("", "a", None)]
     rows = spark.createDataFrame([(t, p) for t, p, _ in cases], "t string, p string").select(S.find_phrase("t", "p").alias("f")).collect()
     assert [None if r.f is None else tuple(r.f) for r in rows] == [c[2] for c in cases]
-    answers = [('{"spans": []}', []), ("garbage", None), ('say {"spps": ["a b", "c"]} now', ["a b", "c"]), ('{"a": ["x"], "b": ["y"]}', None), ('{"spans": ["q", ""]}', ["q"]), ('{"spans": "no"}', None), ('{"n": 1}', None)]
+    answers = [('{"spans": []}', []), ("garbage", None), ('say {"spps": ["a b", "c"]} now', ["a b", "c"]), ('{"m": ["u"], "n": ["v"]}', None), ('{"spans": ["q", ""]}', ["q"]), ('{"spans": "no"}', None), ('{"n": 1}', None)]
     rows = spark.createDataFrame([(a,) for a, _ in answers], "c string").select(S.answer_phrases("c").alias("p")).collect()
     assert [r.p for r in rows] == [w for _, w in answers]
 
