@@ -55,3 +55,20 @@ def test_run_and_contract(spark, tmp_path):
     names = [n for n in entry.queries() if n.startswith("op")]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_stages_on_awkward_tables(spark, tmp_path):
+    """Nulls in every column, empty and very long texts, ties, repeated rows, an empty table, extra columns with clashing names: each stage
+    keeps what its docstring says and all columns."""
+    folder = str(tmp_path)
+    corpus(spark, folder)
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, toxic int, item_id bigint, of_doc bigint, root bigint, _id bigint"
+    long = " ".join(f"longword{i % 5003}x{i}" for i in range(30_000))
+    rows = [(1, None), (2, ""), (3, " ... "), (None, "text without an id"), (4, long), (5, "two equal texts"), (5, "two equal texts"), (6, "two equal texts"), (None, None)]
+    docs = spark.createDataFrame([(k, t, None, None, None if t is None else len(t), 1, None, 3, None, 7) for k, t in rows], schema)
+    kept = {"toxicity": 9, "simhash": 8, "substring": 9, "decontamination": 9, "bpe": 9}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, folder)
+        assert out.count() == kept[name], name
+        assert name == "bpe" or out.schema.simpleString() == docs.schema.simpleString()
+        assert stage(spark, docs.limit(0), folder).count() == 0
