@@ -479,3 +479,18 @@ def test_passages_in_many_documents_and_awkward(spark, sample):
     kept = substring.cut(awkward(spark))
     assert kept.count() == 10 and kept.columns == awkward(spark).columns
     assert substring.passages(rows(spark, [])).count() == 0 and substring.cut(rows(spark, [])).count() == 0
+
+
+def test_passages_are_found_behind_fragments_of_earlier_documents(spark):
+    rng = random.Random(21)
+    text = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    texts, wanted = [], set()
+    for _ in range(40):
+        passage, k = text(55), len(texts)
+        texts += [" ".join(text(40) + passage[:48] + text(40)), " ".join(text(40) + passage[7:] + text(40))]
+        texts += [" ".join(text(40) + passage + text(40)) for _ in range(4)]
+        wanted |= {(k + j, k + 2) for j in (3, 4, 5)}
+    out = substring.passages(rows(spark, texts)).collect()
+    found = {(r.doc_id, r.of_doc) for r in out}
+    assert len(found & wanted) >= 0.98 * len(wanted)
+    assert {d for d, _ in found} <= {d for d, _ in wanted} and len(out) == len(found & wanted)
