@@ -71,11 +71,11 @@ class Matcher:
 
 
 def hits(docs: DataFrame, patterns: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, label, start, end, kind).  The patterns' size is checked; a longer list is matched slice by slice, which only
-    the claiming of exact hits (done afterwards, by document) has to know."""
+    """(doc_id, label, start, end, kind).  The patterns' size is checked; a longer list is joined with the texts' substrings,
+    with the same rows."""
     size = patterns.agg(F.sum(F.octet_length("pattern") + 32)).first()[0] or 0
     if size > AUTOMATON_BYTES:
-        return _hits_by_join(docs, patterns, text)
+        return _hits_by_join(docs, patterns, text).unionByName(_suffixes_by_join(docs, patterns, text))
     rows = patterns.select("kind", "label", "pattern", "rank").collect()
     exact = [(r.label, r.pattern) for r in rows if r.kind == "exact"]
     suffix = [(r.label, r.pattern, r["rank"]) for r in rows if r.kind == "suffix"]
@@ -89,13 +89,63 @@ def hits(docs: DataFrame, patterns: DataFrame, text: str = "text") -> DataFrame:
     return docs.select("doc_id", F.col(text).alias("text")).mapInPandas(run, "doc_id bigint, label string, start int, end int, kind string")
 
 
+def _sizes(patterns: DataFrame, kind: str) -> list[int]:
+    return [r[0] for r in patterns.where(F.col("kind") == kind).select(F.length("pattern").alias("n")).distinct().collect()]
+
+
 def _hits_by_join(docs: DataFrame, patterns: DataFrame, text: str) -> DataFrame:
-    """Exact hits of a list of any size: every substring of a known length is joined with the list, then claimed by document."""
-    sizes = [r[0] for r in patterns.where("kind = 'exact'").select(F.length("pattern").alias("n")).distinct().collect()]
-    t = F.col(text)
+    """Exact hits of a list of any size: every substring of a known length is joined with the list, then claimed by row.  A row is
+    told by its doc_id and text; equal rows are matched once and their hits repeated."""
+    sizes = _sizes(patterns, "exact")
+    t = F.col("text")
     grams = F.flatten(F.array(*(F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(0), F.length(t) - n), lambda i: F.struct(i.alias("start"), F.lit(n).alias("n"), F.substring(t, i + 1, F.lit(n)).alias("pattern")))).otherwise(F.array().cast("array<struct<start:int,n:int,pattern:string>>")) for n in sizes)))
-    found = docs.select("doc_id", F.explode(grams).alias("g")).select("doc_id", "g.*").join(patterns.where("kind = 'exact'").select("label", "pattern"), "pattern")
-    longest = found.groupBy("doc_id", "start").agg(F.max_by(F.struct("n", "label"), F.struct("n", "label")).alias("x"))
-    ordered = longest.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", (F.col("start") + F.col("x.n")).alias("end"), "x.label"))).alias("all"))
+    if not sizes:
+        return docs.sparkSession.createDataFrame([], "doc_id bigint, label string, start int, end int, kind string")
+    named = patterns.where("kind = 'exact'").groupBy("pattern").agg(F.array_sort(F.collect_list("label")).alias("labels"))
+    rows = _counted(docs, text)
+    found = rows.select("doc_id", "row", "times", F.explode(grams).alias("g")).select("doc_id", "row", "times", "g.*").join(named, "pattern")
+    longest = found.groupBy("doc_id", "row", "times", "start").agg(F.max_by("labels", "n").alias("labels"), F.max("n").alias("n"))
+    ordered = longest.groupBy("doc_id", "row", "times").agg(F.array_sort(F.collect_list(F.struct("start", (F.col("start") + F.col("n")).alias("end"), "labels"))).alias("all"))
     claimed = F.aggregate("all", F.filter("all", lambda x: F.lit(False)), lambda acc, x: F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["end"] > x["start"]), acc).otherwise(F.concat(acc, F.array(x))))
-    return ordered.select("doc_id", F.explode(claimed).alias("h")).select("doc_id", "h.label", "h.start", "h.end", F.lit("exact").alias("kind"))
+    each = ordered.select("doc_id", "times", F.explode(claimed).alias("h")).select("doc_id", "times", F.explode("h.labels").alias("label"), "h.start", "h.end")
+    return _repeated(each, "exact")
+
+
+def _suffixes_by_join(docs: DataFrame, patterns: DataFrame, text: str) -> DataFrame:
+    """Suffix hits (D8) of a list of any size: the substrings behind a word's first character are joined with the list; of a label
+    the best rank counts, of a pattern the leftmost place."""
+    sizes = _sizes(patterns, "suffix")
+    if not sizes:
+        return docs.sparkSession.createDataFrame([], "doc_id bigint, label string, start int, end int, kind string")
+
+    def words(batches):
+        for batch in batches:
+            out = []
+            for doc_id, row, times, t in zip(batch["doc_id"], batch["row"], batch["times"], batch["text"]):
+                at = 0
+                for word in t.split():
+                    begin = t.index(word, at)
+                    at = begin + len(word)
+                    places: dict[str, int] = {}
+                    for n in sizes:
+                        for k in range(1, len(word) - n + 1):
+                            places.setdefault(word[k : k + n], begin + k + n)
+                    out += [(doc_id, row, times, begin, stop, gram) for gram, stop in places.items()]
+            yield pd.DataFrame(out, columns=["doc_id", "row", "times", "start", "end", "pattern"]).astype({"doc_id": "Int64"})
+
+    grams = _counted(docs, text).mapInPandas(words, "doc_id bigint, row string, times bigint, start int, end int, pattern string")
+    found = grams.join(patterns.where("kind = 'suffix'").select("label", "pattern", "rank"), "pattern")
+    # ranks are unique within a label when build() made them; else the shorter and then the leftmost pattern wins, as in Matcher
+    best = found.groupBy("doc_id", "row", "times", "start", "label").agg(F.min_by("end", F.struct("rank", F.length("pattern"), "end")).alias("end"))
+    return _repeated(best, "suffix")
+
+
+def _counted(docs: DataFrame, text: str) -> DataFrame:
+    """(doc_id, row, times, text): the distinct rows, a digest that tells those of one doc_id apart, and how often each occurs."""
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("text is not null")
+    return rows.groupBy("doc_id", "text").agg(F.count("*").alias("times")).select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("row"), "times", "text")
+
+
+def _repeated(found: DataFrame, kind: str) -> DataFrame:
+    again = found.withColumn("_again", F.explode(F.sequence(F.lit(1).cast("bigint"), "times")))
+    return again.select("doc_id", "label", "start", "end", F.lit(kind).alias("kind"))

@@ -418,6 +418,21 @@ def test_gazetteer(spark):
     assert by_join == {x for x in found if x[3] == "exact"}
 
 
+def test_gazetteer_routes_agree(spark, monkeypatch):
+    forms = spark.createDataFrame([(label, f) for label in "NM" for f in ["kimcheol", "parkcheol", "leecheol", "kim", "kimc", "leekim"]], "label string, form string")
+    built = gazetteer.build(forms)
+    docs = frame(spark, ["kimcheol kimc meets choicheol", None, "", "xkimx cheolcheolx parkcheol 😀kim  leekim"])
+    again = docs.unionByName(docs).unionByName(docs.withColumn("text", F.concat(F.lit("a leecheol "), "text")))
+    for patterns in (built, built.where("kind = 'exact'"), built.where("kind = 'suffix'"), built.limit(0)):
+        found = []
+        for limit in (gazetteer.AUTOMATON_BYTES, -1):
+            monkeypatch.setattr(gazetteer, "AUTOMATON_BYTES", limit)
+            found.append(sorted(tuple(r) for r in gazetteer.hits(again, patterns).collect()))
+        monkeypatch.undo()
+        assert found[0] == found[1] and bool(found[0]) == (patterns.count() > 0)
+    assert {x[1] for x in found[0]} == set() and {r.label for r in gazetteer.hits(again, built).collect()} == {"N", "M"}
+
+
 def test_addresses_merge(spark):
     text = "서울 강남  역삼, 부산"
     items = [("LC_ADDRESS", 0, 2), ("LC_ADDRESS", 3, 5), ("LC_ADDRESS", 7, 9), ("LC_ADDRESS", 11, 13)]
