@@ -1,16 +1,15 @@
 """SimHash near-duplicates by tiled exact comparison.
 
 Every document gets a 128-bit SimHash of its word bigrams.  Equal signatures collapse first.  The remaining signatures are
-sorted by feature count and population count and packed into tiles; a pair of tiles is compared with numpy exclusive-or and
-bit counts unless no pair of its rows can match: their population counts differ by more than the radius, or their feature
-counts by more than the ratio that the radius allows (two nested bags whose sizes are in a ratio below cos^2 of the
-radius' angle are expected beyond the radius).  Nothing is sampled or capped: the comparison is exact.
+sorted by population count and packed into tiles; a pair of tiles is compared with numpy exclusive-or and bit counts unless
+their population counts differ by more than the radius, when no pair of their rows can match.  Nothing else is skipped,
+sampled or capped: the comparison is exact, whatever the documents' lengths.
 
 Defined results: a document whose text is null, empty or without a word has no signature and joins no group; a
 one-word document is its word; ties and repeated rows go to the least doc_id; a row without doc_id is left alone;
 columns other than doc_id and text are ignored; an empty table gives no rows.
 
-Scale: the comparison is quadratic within bands of similar length (that is the method); the shuffle carries 36 bytes a
+Scale: the comparison is quadratic in the distinct signatures (that is the method); the shuffle carries 36 bytes a
 document plus the surviving tile pairs' blobs.
 """
 
@@ -34,6 +33,8 @@ TILE = 16384
 
 
 def min_ratio(radius: int = RADIUS) -> float:
+    """Nested bags whose sizes are in a lower ratio are expected beyond the radius; repeated text isn't, so no pair is skipped
+    for it."""
     return math.cos(math.pi * radius / 128) ** 2
 
 
@@ -83,8 +84,8 @@ def _tiles(size: int):
         def out(rows):
             pop = np.bitwise_count(rows["s0"]).astype(int) + np.bitwise_count(rows["s1"])
             return pa.RecordBatch.from_arrays(
-                [pa.array([x], t) for x, t in ((part << 32 | serial, pa.int64()), (int(rows["n"].min()), pa.int32()), (int(rows["n"].max()), pa.int32()), (int(pop.min()), pa.int32()), (int(pop.max()), pa.int32()), (rows.tobytes(), pa.binary()))],
-                names=["tile", "n_lo", "n_hi", "p_lo", "p_hi", "blob"],
+                [pa.array([x], t) for x, t in ((part << 32 | serial, pa.int64()), (int(pop.min()), pa.int32()), (int(pop.max()), pa.int32()), (rows.tobytes(), pa.binary()))],
+                names=["tile", "p_lo", "p_hi", "blob"],
             )
 
         for batch in batches:
@@ -106,12 +107,16 @@ def _tiles(size: int):
 
 
 def close_pairs(a: np.ndarray, b: np.ndarray, radius: int, ratio: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Indices (i, j) of all rows within the radius; i < j when both tiles are one."""
-    step = max(1, (1 << 18) // max(1, len(b)))
+    """Indices (i, j) of all rows within the radius whose feature counts are at least in the ratio (0: any); i < j when both
+    tiles are one."""
+    step = max(1, (1 << 16) // max(1, len(b)))
+    b0, b1 = np.ascontiguousarray(b["s0"]), np.ascontiguousarray(b["s1"])
     left, right = [], []
     for at in range(0, len(a), step):
         x = a[at : at + step]
-        near = np.bitwise_count(x["s0"][:, None] ^ b["s0"][None, :]) <= radius
+        # one of the halves of a pair within the radius differs in half of it at most
+        near = np.bitwise_count(x["s0"][:, None] ^ b0) <= radius // 2
+        near |= np.bitwise_count(x["s1"][:, None] ^ b1) <= radius // 2
         i, j = np.nonzero(near)
         if same:
             keep = i + at < j
@@ -144,13 +149,13 @@ def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[keep], nodes[label[keep]]
 
 
-def _compare(radius: int, ratio: float):
+def _compare(radius: int):
     def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):
                 same = batch.column(0)[k].as_py() == batch.column(1)[k].as_py()
                 a, b = (np.frombuffer(batch.column(c)[k].as_buffer(), _ROW) for c in (2, 3))
-                i, j = close_pairs(a, b, radius, ratio, same)
+                i, j = close_pairs(a, b, radius, 0.0, same)
                 if len(i):
                     u, v = _forest(a["doc"][i], b["doc"][j])
                     yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
@@ -160,30 +165,28 @@ def _compare(radius: int, ratio: float):
 
 def near_edges(reps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """(u, v) edges whose components are those of all pairs of signatures within the radius."""
-    spark, ratio = reps.sparkSession, min_ratio(radius)
+    spark = reps.sparkSession
     pop = F.bit_count("s0") + F.bit_count("s1")
-    ordered = reps.select("doc_id", "n", "s0", "s1", F.floor(F.log2("n") * 8).alias("b"), pop.alias("p")).orderBy("b", "p", "n", "doc_id")
-    tiles = _spark.cut(ordered.select("doc_id", "n", "s0", "s1").mapInArrow(_tiles(tile), "tile bigint, n_lo int, n_hi int, p_lo int, p_hi int, blob binary"))
-    band = lambda c: F.floor(F.log(c) / -math.log(ratio)).cast("int")
+    ordered = reps.select("doc_id", "n", "s0", "s1", pop.alias("p")).orderBy("p", "doc_id")
+    tiles = _spark.cut(ordered.select("doc_id", "n", "s0", "s1").mapInArrow(_tiles(tile), "tile bigint, p_lo int, p_hi int, blob binary"))
     meta = tiles.drop("blob")
-    a = meta.select(*(F.col(c).alias("a_" + c) for c in meta.columns)).withColumn("g", F.explode(F.sequence(band("a_n_lo"), band("a_n_hi"))))
-    b = meta.select(*(F.col(c).alias("b_" + c) for c in meta.columns)).withColumn("g", F.explode(F.sequence(band("b_n_lo") - 1, band("b_n_hi") + 1)))
-    pairs = a.join(b, "g").where(f"a_tile <= b_tile and b_n_lo * {ratio} <= a_n_hi and a_n_lo * {ratio} <= b_n_hi and b_p_lo - a_p_hi <= {radius} and a_p_lo - b_p_hi <= {radius}")
-    pairs = _spark.cut(pairs.select("a_tile", "b_tile").distinct())
+    a, b = (meta.select(*(F.col(c).alias(f"{s}_{c}") for c in meta.columns)) for s in "ab")
+    pairs = a.crossJoin(b).where(f"a_tile <= b_tile and b_p_lo - a_p_hi <= {radius} and a_p_lo - b_p_hi <= {radius}")
+    pairs = _spark.cut(pairs.select("a_tile", "b_tile"))
     n = pairs.count()
     blobs = lambda s: tiles.select(F.col("tile").alias(s + "_tile"), F.col("blob").alias(s))
     work = pairs.join(blobs("a"), "a_tile").join(blobs("b"), "b_tile").select("a_tile", "b_tile", "a", "b")
     work = work.repartition(max(1, min(n, 64 * _spark.parallelism(spark))), "a_tile", "b_tile")
-    return work.mapInArrow(_compare(radius, ratio), "u bigint, v bigint")
+    return work.mapInArrow(_compare(radius), "u bigint, v bigint")
 
 
 def duplicates(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """(doc_id, duplicate_of): every document of a group but its least doc_id, and that doc_id."""
     signed = _spark.cut(signatures(docs))
-    reps = _spark.cut(signed.groupBy("s0", "s1", "n").agg(F.min("doc_id").alias("doc_id")))
+    reps = _spark.cut(signed.groupBy("s0", "s1").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")))
     roots = _spark.connected_components(near_edges(reps, radius, tile))
-    of = reps.join(roots, reps.doc_id == roots.node, "left").select("s0", "s1", "n", F.coalesce("root", reps.doc_id).alias("duplicate_of"))
-    groups = signed.join(of, ["s0", "s1", "n"]).select("doc_id", "duplicate_of")
+    of = reps.join(roots, reps.doc_id == roots.node, "left").select("s0", "s1", F.coalesce("root", reps.doc_id).alias("duplicate_of"))
+    groups = signed.join(of, ["s0", "s1"]).select("doc_id", "duplicate_of")
     return groups.where("doc_id <> duplicate_of").distinct()
 
 

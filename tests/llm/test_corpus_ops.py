@@ -187,6 +187,26 @@ def test_simhash_tiles_agree_with_brute_force(spark, sample):
     assert len({d for d, _ in wanted if d >= len(texts)}) >= 0.95 * len(copies)
 
 
+def test_simhash_keeps_repeated_text_whatever_its_length(spark, sample):
+    texts = [t for _, t in sample if len(t.split()) > 30][:40]
+    docs = rows(spark, texts + [" ".join([t.upper()] * 6) for t in texts])
+    s = [(r.doc_id, (r.s0 & (1 << 64) - 1) << 64 | r.s1 & (1 << 64) - 1) for r in simhash.signatures(docs).collect()]
+    parent = {d: d for d, _ in s}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for (d, x), (e, y) in combinations(s, 2):
+        if (x ^ y).bit_count() <= simhash.RADIUS:
+            a, b = sorted((root(d), root(e)))
+            parent[b] = a
+    wanted = {(d, root(d)) for d in parent if root(d) != d}
+    assert {tuple(r) for r in simhash.duplicates(docs, tile=17).collect()} == wanted
+    assert len({d for d, _ in wanted if d >= len(texts)}) >= 0.95 * len(texts)
+
+
 def test_simhash_awkward(spark):
     out = sorted(tuple(r) for r in simhash.duplicates(awkward(spark)).collect())
     assert out == [(7, 6)]
