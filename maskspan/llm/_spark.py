@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the folder named by spark.checkpoint.dir; only a session without one (tests) gets a temporary folder."""
+    """Uses the folder named by spark.checkpoint.dir; a local session without one (tests) gets a temporary one, a cluster an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="maskspan-checkpoint-"))
 
 
@@ -46,24 +48,36 @@ def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
-#: Bytes of ids (8 each) up to which an anti join broadcasts them; more are joined by shuffling both sides.
+#: Bytes of a hashed relation up to which a join broadcasts it; more is joined by shuffling both sides.
 BROADCAST_BYTES = 64 << 20
 
 
+def small(df: DataFrame, rows: int, width: int) -> DataFrame:
+    """df, to be broadcast if its rows of `width` bytes, with the 40 that a hashed relation adds to each, are few enough."""
+    return F.broadcast(df) if rows * (width + 40) <= BROADCAST_BYTES else df
+
+
+def fresh(df: DataFrame, n: int) -> list[str]:
+    """n column names that df doesn't have, in any case."""
+    have = {c.lower() for c in df.columns}
+    return [name for k in range(n + len(have)) if (name := f"_own{k}") not in have][:n]
+
+
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The documents whose doc_id is not among the ids (doc_id bigint); rows without doc_id stay."""
-    ids = cut(ids.select(F.col("doc_id").alias("_gone")).distinct())
-    small = ids.count() * 8 <= BROADCAST_BYTES
-    return docs.join(F.broadcast(ids) if small else ids, docs["doc_id"].cast("bigint") == F.col("_gone"), "left_anti")
+    (gone,) = fresh(docs, 1)
+    ids = cut(ids.select(F.col("doc_id").alias(gone)).distinct())
+    return docs.join(small(ids, ids.count(), 8), docs["doc_id"].cast("bigint") == F.col(gone), "left_anti")
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(u, v) bigint edges -> (node, root), root the least node of the component.  Alternates large-star and small-star
-    steps, O(log n) rounds, each a pair of shuffles on the edges alone; no node's neighbours are ever gathered in memory.
+    steps until nothing changes, O(log n) rounds, each a pair of shuffles on the edges alone; no node's neighbours are ever
+    gathered in memory.
     """
     e = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
     before = None
-    for _ in range(max_rounds):
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))

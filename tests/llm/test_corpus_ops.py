@@ -446,9 +446,11 @@ def test_lm_score_awkward(spark):
 # ---- 10 substring dedup
 
 
-def test_compact_windows_against_brute_force():
+def test_compact_windows_against_brute_force(monkeypatch):
     rng = np.random.default_rng(0)
-    for _ in range(80):
+    for turn in range(80):
+        # beyond this many tokens positions don't fit beside the value
+        monkeypatch.setattr(substring, "_LOW", np.uint64(0xFFFFFF) if turn % 2 else np.uint64(0))
         n, width = rng.integers(1, 60), int(rng.integers(2, 9))
         token = rng.integers(0, 12, n).astype(np.uint64) << np.uint64(40)
         first = np.unique(np.concatenate([[0, n], rng.integers(0, n + 1, 3)]))
@@ -514,3 +516,89 @@ def test_passages_are_found_behind_fragments_of_earlier_documents(spark):
     found = {(r.doc_id, r.of_doc) for r in out}
     assert len(found & wanted) >= 0.98 * len(wanted)
     assert {d for d, _ in found} <= {d for d, _ in wanted} and len(out) == len(found & wanted)
+
+
+def test_interval_join_against_brute_force():
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        n = int(rng.integers(1, 120))
+        doc, of = np.sort(rng.integers(0, 3, n)), np.zeros(n, np.int64)
+        a_lo, b_lo = rng.integers(0, 400, n), rng.integers(0, 400, n)
+        a_hi, b_hi = a_lo + rng.integers(0, 60, n) ** 2 // 40, b_lo + rng.integers(0, 60, n)
+        mask = 1 << rng.integers(0, 3, n)
+        order = np.lexsort((a_lo, doc))
+        rows = [x[order] for x in (doc, of, a_lo, a_hi, b_lo, b_hi, mask)]
+        meet = lambda i, j: all(x[i] == x[j] for x in rows[:2]) and all(rows[k][i] <= rows[k + 1][j] and rows[k][j] <= rows[k + 1][i] for k in (2, 4))
+        want = {int(rows[0][i]) for i in range(n) for j in range(i) if meet(i, j) and rows[6][i] != rows[6][j]}
+        assert {int(rows[0][k]) for k in substring.overlapping(*rows)} == want
+
+
+def test_overlapping_windows_meet_across_many_others():
+    """Two windows of different hash functions overlap, with 39 others between them in the order."""
+    a_lo = np.array([0, *range(1, 40), 40])
+    rows = [np.zeros(41, np.int64), np.zeros(41, np.int64), a_lo, np.array([100, *range(1, 40), 90]), np.array([0, *[1000] * 39, 40]), np.array([100, *[1000] * 39, 90]), np.array([1, *[1] * 39, 2])]
+    assert len(substring.overlapping(*rows)) == 1
+
+
+@pytest.mark.parametrize("hot", [substring.HOT, 1])
+def test_every_exact_repeat_is_found(spark, hot, monkeypatch):
+    """Brute force over all runs of 50 words: documents made of pieces of one another, earlier fragments, common lines."""
+    monkeypatch.setattr(substring, "SAMPLE", 2 if hot == 1 else substring.SAMPLE)
+    monkeypatch.setattr(substring, "SPLIT", 3 if hot == 1 else substring.SPLIT)
+    rng = random.Random(5)
+    text = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    line, made = text(30), []
+    pool = [text(140) for _ in range(12)]
+    for _ in range(160):
+        words = text(rng.randint(0, 60))
+        for _ in range(rng.randint(1, 3)):
+            p = rng.choice(pool)
+            at = rng.randrange(len(p) - 44)
+            words += p[at : at + rng.choice([44, 47, 49, 50, 51, 60, 90])] + text(rng.randint(0, 30)) + (line if rng.random() < 0.4 else [])
+        made.append(words)
+    docs = rows(spark, [" ".join(w) for w in made])
+    found = {}
+    for r in substring.passages(docs, hot).collect():
+        assert r.of_doc <= r.doc_id
+        text_ = " ".join(made[r.doc_id])
+        found.setdefault(r.doc_id, []).append((len(text_[: r.start].split()), len(text_[: r.end].split())))
+    seen, wanted = set(), 0
+    for d, w in enumerate(made):
+        for i in range(len(w) - 49):
+            if tuple(w[i : i + 50]) in seen:
+                wanted += 1
+                assert any(lo <= i and i + 50 <= hi for lo, hi in found.get(d, [])), (d, i)
+        seen |= {tuple(w[i : i + 50]) for i in range(len(w) - 49)}
+    assert wanted > 500
+
+
+def test_a_passage_behind_an_earlier_piece_of_it(spark):
+    """B and C share 80 words, A holds 47, 50 or 60 of them: C's link to B is told whole."""
+    rng = random.Random(2)
+    text = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    texts = []
+    for k in range(40):
+        p = text(80)
+        texts += [" ".join(text(40) + p[12 : 12 + (47, 50, 60)[k % 3]] + text(40)), " ".join(text(30) + p + text(50)), " ".join(text(60) + p + text(20))]
+    found = {(r.doc_id, r.of_doc): r.words for r in substring.passages(rows(spark, texts)).collect()}
+    assert all(found.get((3 * k + 2, 3 * k + 1), 0) >= 80 for k in range(40))
+
+
+def test_repeats_within_a_document(spark):
+    rng = random.Random(8)
+    text = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    p = text(200)
+    texts = [" ".join(text(20) + p + text(30) + p + text(10)), " ".join(text(300)), " ".join(text(10) + p[:100] + text(10))]
+    out = sorted((r.doc_id, r.of_doc, r.words) for r in substring.passages(rows(spark, texts)).collect())
+    assert out == [(0, 0, 200), (2, 0, 100)]
+    kept = {r.doc_id: r.text for r in substring.cut(rows(spark, texts)).collect()}
+    assert len(kept[0].split()) == 260 and kept[1] == texts[1] and len(kept[2].split()) == 20
+
+
+def test_two_changed_words_do_not_split_a_passage(spark):
+    rng = random.Random(3)
+    text = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    p = text(70)
+    q = [*p[:29], "x", *p[30:34], "y", *p[35:]]
+    out = substring.passages(rows(spark, [" ".join(text(30) + p + text(30)), " ".join(text(30) + q + text(30))])).collect()
+    assert [(r.doc_id, r.of_doc, r.words) for r in out] == [(1, 0, 70)]
