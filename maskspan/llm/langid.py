@@ -27,7 +27,8 @@ from ._text import Words, chunks, fold, ranges
 BUCKETS = 1 << 17
 SMOOTHING = 0.1
 PENALTY = 2.0
-ROUNDS = 25
+#: EM ends for a document when no share moves by more.
+MOVED = 2e-3
 #: Least share of a document that a language of its set has.
 LEAST = 0.02
 
@@ -94,24 +95,34 @@ class Model:
         like = np.ascontiguousarray(like.T)
 
         def fit(own: np.ndarray, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """EM for some documents (positions in docs) from the given shares; a share of 0 stays 0."""
+            """EM for some documents (positions in docs) from the given shares; a share of 0 stays 0.  Each document has as many rounds
+            as it needs, whatever its neighbours."""
             size = count[docs[own]]
-            x = np.take(like, ranges(words.first[docs[own]], size), axis=1)
-            begin = np.cumsum(size) - size
-            owner = np.repeat(np.arange(len(own)), size)
-            theta = np.ascontiguousarray(theta.T.astype(np.float32))
-            for _ in range(ROUNDS):
-                part = np.take(theta, owner, axis=1)
-                part *= x
-                part /= part.sum(axis=0)
-                new = np.add.reduceat(part, begin, axis=1) / size.astype(np.float32)
-                moved = np.abs(new - theta).max()
-                theta = new
-                if moved < 2e-3:
+            every = np.take(like, ranges(words.first[docs[own]], size), axis=1)
+            out = np.ascontiguousarray(theta.T.astype(np.float32))
+            place, x, now, n = np.arange(len(own)), every, out.copy(), size
+            frozen = np.zeros(len(own), bool)
+            while True:
+                owner, begin = np.repeat(np.arange(len(n)), n), np.cumsum(n) - n
+                while True:
+                    part = np.take(now, owner, axis=1)
+                    part *= x
+                    part /= part.sum(axis=0)
+                    new = np.add.reduceat(part, begin, axis=1) / n.astype(np.float32)
+                    done = ~frozen & (np.abs(new - now).max(axis=0) < MOVED)
+                    now = new
+                    out[:, place[done]] = now[:, done]
+                    frozen |= done
+                    if 2 * frozen.sum() >= len(n):
+                        break
+                if frozen.all():
                     break
-            mix = (np.take(theta, owner, axis=1) * x).sum(axis=0)
-            theta[theta < 1e-5] = 0
-            return theta.T.astype(float), np.add.reduceat(np.log(np.maximum(mix, 1e-38)), begin, dtype=float)
+                keep = ~frozen
+                place, x, now, n, frozen = place[keep], x[:, keep[owner]], now[:, keep], n[keep], frozen[keep]
+            owner, begin = np.repeat(np.arange(len(size)), size), np.cumsum(size) - size
+            mix = (np.take(out, owner, axis=1) * every).sum(axis=0)
+            out[out < 1e-5] = 0
+            return out.T.astype(float), np.add.reduceat(np.log(np.maximum(mix, 1e-38)), begin, dtype=float)
 
         def cost(value: np.ndarray, k: np.ndarray, own: np.ndarray) -> np.ndarray:
             return -2 * value + PENALTY * (k - 1) * np.log(count[docs[own]] + 1.0)
