@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import heapq
 import struct
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 _ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
 _HASH = 0x1E35A7BD
 _OPAQUE = 0xFF000000
+#: Pixels of a front from which it is worth a numpy operation.
+FRONT = 12
 
 
 def _near():
@@ -170,48 +173,101 @@ def _read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     sizes = (280 + len(cache), 256, 256, 256, 40)
     groups = [[_read_code(bits, n) for n in sizes] for _ in range(n_groups)]
     total = width * height
-    out = [0] * total
-    green, red, blue, alpha, distance = groups[0]
+    # four bytes a pixel, however large the picture
+    out = array("I", bytes(4 * total))
     across = _part(width, shift)
-    at = cached = 0
+    at = cached = run_end = 0
     down = 32 - cache_bits
-    while at < total:
-        if group_of is not None:
-            y, x = divmod(at, width)
-            green, red, blue, alpha, distance = groups[group_of[(y >> shift) * across + (x >> shift)]]
-        s = green.read(bits)
-        if s < 256:
-            r = red.read(bits)
-            b = blue.read(bits)
-            out[at] = alpha.read(bits) << 24 | r << 16 | s << 8 | b
-            at += 1
-        elif s < 280:
-            length = _extent(s - 256, bits)
-            d = _extent(distance.read(bits), bits)
-            if d > 120:
-                d -= 120
-            else:
-                dx, dy = NEAR[d - 1]
-                d = max(1, dx + dy * width)
-            if d > at or at + length > total:
-                raise Broken("a back-reference outside the picture")
-            if d >= length:
-                out[at : at + length] = out[at - d : at - d + length]
+    data, size, next_byte, held, have = bits.data, len(bits.data), bits.at, bits.held, bits.have
+    group = None
+    try:
+        while at < total:
+            if at >= run_end:
+                # the codes stay the same to the end of a block's row
+                if group_of is None:
+                    run_end, now = total, groups[0]
+                else:
+                    y, x = divmod(at, width)
+                    block = x >> shift
+                    run_end, now = y * width + min(width, (block + 1) << shift), groups[group_of[(y >> shift) * across + block]]
+                if now is not group:
+                    group = now
+                    (green, gm), (red, rm), (blue, bm), (alpha, am), (distance, dm) = ((c.table, len(c.table) - 1) for c in group)
+            # a pixel takes 60 bits at most, a back-reference's symbols and extra bits too
+            if have < 64:
+                held |= int.from_bytes(data[next_byte : next_byte + 16], "little") << have
+                next_byte += 16
+                have += 128
+                if next_byte > size + 32:
+                    raise Broken("the data end early")
+            e = green[held & gm]
+            n = e & 15
+            held >>= n
+            have -= n
+            s = e >> 4
+            if s < 256:
+                e = red[held & rm]
+                n = e & 15
+                held >>= n
+                pixel = (e >> 4) << 16 | s << 8
+                e = blue[held & bm]
+                have -= n
+                n = e & 15
+                held >>= n
+                pixel |= e >> 4
+                e = alpha[held & am]
+                have -= n
+                n = e & 15
+                held >>= n
+                have -= n
+                out[at] = pixel | (e >> 4) << 24
+                at += 1
+            elif s < 280:
+                s -= 256
+                if s < 4:
+                    length = s + 1
+                else:
+                    n = (s - 2) >> 1
+                    length = ((2 + (s & 1)) << n) + (held & ((1 << n) - 1)) + 1
+                    held >>= n
+                    have -= n
+                e = distance[held & dm]
+                n = e & 15
+                held >>= n
+                have -= n
+                s = e >> 4
+                if s < 4:
+                    d = s + 1
+                else:
+                    n = (s - 2) >> 1
+                    d = ((2 + (s & 1)) << n) + (held & ((1 << n) - 1)) + 1
+                    held >>= n
+                    have -= n
+                if d > 120:
+                    d -= 120
+                else:
+                    dx, dy = NEAR[d - 1]
+                    d = max(1, dx + dy * width)
+                if d > at or at + length > total:
+                    raise Broken("a back-reference outside the picture")
+                if d >= length:
+                    out[at : at + length] = out[at - d : at - d + length]
+                else:
+                    out[at : at + length] = (out[at - d : at] * (length // d + 1))[:length]
+                at += length
             else:
-                piece = out[at - d : at]
-                out[at : at + length] = (piece * (length // d + 1))[:length]
-            at += length
-        else:
-            for k in range(cached, at):
-                cache[(_HASH * out[k] & 0xFFFFFFFF) >> down] = out[k]
-            cached = at
-            if s - 280 >= len(cache):
-                raise Broken("a colour outside the cache")
-            out[at] = cache[s - 280]
-            at += 1
-        if bits.at - 8 > len(bits.data) + 8:
-            raise Broken("the data end early")
-    return np.array(out, np.uint32)
+                for k in range(cached, at):
+                    cache[(_HASH * out[k] & 0xFFFFFFFF) >> down] = out[k]
+                cached = at
+                if s - 280 >= len(cache):
+                    raise Broken("a colour outside the cache")
+                out[at] = cache[s - 280]
+                at += 1
+    finally:
+        bits.at, bits.held, bits.have = next_byte, held, have
+    if 8 * next_byte - have > 8 * size + 64:
+        raise Broken("the data end early")
+    return np.frombuffer(out, np.uint32)
 
 
 def _average(a: int, b: int) -> int:
@@ -291,12 +347,51 @@ def _neighbours(pixels: list[int], at: int, width: int, mode: int) -> int:
 
 
 def _undo_predictor(image: np.ndarray, width: int, height: int, shift: int, data: np.ndarray) -> np.ndarray:
-    modes = ((data >> 8) & 15).tolist()
-    out, across = image.tolist(), _part(width, shift)
-    for at in range(width * height):
-        y, x = divmod(at, width)
-        out[at] = _add(out[at], _neighbours(out, at, width, modes[(y >> shift) * across + (x >> shift)]))
-    return np.array(out, np.uint32)
+    """By slanted fronts x + 2 y = t, whose pixels depend on earlier fronts only; where fronts are short, pixel by pixel."""
+    if min(width // 2, height) < FRONT:
+        modes = ((data >> 8) & 15).tolist()
+        out, across = image.tolist(), _part(width, shift)
+        for at in range(width * height):
+            y, x = divmod(at, width)
+            out[at] = _add(out[at], _neighbours(out, at, width, modes[(y >> shift) * across + (x >> shift)]))
+        return np.array(out, np.uint32)
+    mode = _spread((data >> 8) & 15, width, height, shift).astype(np.uint8).reshape(height, width)
+    mode[0], mode[1:, 0], mode[0, 0] = 1, 2, 0
+    mode = mode.ravel()
+    out = image.astype("<u4").view(np.uint8).reshape(-1, 4)
+    opaque = np.array([0, 0, 0, 255], np.int16)
+    for t in range(width + 2 * height - 2):
+        y = np.arange(max(0, -((width - 1 - t) // 2)), min(height - 1, t // 2) + 1)
+        at = y * width + t - 2 * y
+        own = mode[at]
+        for k in np.flatnonzero(np.bincount(own, minlength=16)).tolist():
+            here = at[own == k]
+            part = lambda back: out[here - back].astype(np.int16)
+            out[here] = (out[here] + (opaque if k in (0, 14, 15) else _predicted(k, part, width))).astype(np.uint8)
+    return out.view("<u4").ravel().astype(np.uint32)
+
+
+def _predicted(mode: int, part, width: int) -> np.ndarray:
+    """predict() for the channels (n, 4) of many pixels; part(back) has the pixels so many places before them."""
+    left, top, corner, right = 1, width, width + 1, width - 1
+    if mode in (1, 2, 3, 4):
+        return part((left, top, right, corner)[mode - 1])
+    if mode == 5:
+        return (((part(left) + part(right)) >> 1) + part(top)) >> 1
+    if mode in (6, 7, 8, 9):
+        a, b = ((left, corner), (left, top), (corner, top), (top, right))[mode - 6]
+        return (part(a) + part(b)) >> 1
+    if mode == 10:
+        return (((part(left) + part(corner)) >> 1) + ((part(top) + part(right)) >> 1)) >> 1
+    x, y, z = part(left), part(top), part(corner)
+    if mode == 11:
+        nearer = np.abs(y - z).sum(axis=1) < np.abs(x - z).sum(axis=1)
+        return np.where(nearer[:, None], x, y)
+    if mode == 12:
+        return np.clip(x + y - z, 0, 255)
+    mean = (x + y) >> 1
+    gap = mean - z
+    return np.clip(mean + np.sign(gap) * (np.abs(gap) >> 1), 0, 255)
 
 
 def _spread(data: np.ndarray, width: int, height: int, shift: int) -> np.ndarray:
@@ -574,9 +669,10 @@ def _write_image(out: _Out, pixels: list[int], width: int, main: bool, cache_bit
             out.put(*c[0][kind])
 
 
-def encode(width: int, height: int, pixels: list[int], transforms: str = "", cache_bits: int = 0, shift: int = 0) -> bytes:
+def encode(width: int, height: int, pixels: list[int], transforms: str = "", cache_bits: int = 0, shift: int = 0, first_mode: int = 0) -> bytes:
     """A lossless WebP file of ARGB pixels.  transforms: any of p (predictor), c (cross-colour), g (subtract green), i (palette, at
-    most 256 colours), in the order in which they are applied; cache_bits: colour cache; shift: blocks with prefix codes of their own."""
+    most 256 colours), in the order in which they are applied; cache_bits: colour cache; shift: blocks with prefix codes of their own;
+    first_mode: the predictor of the first block, those of the others follow."""
     out = _Out()
     out.put(width - 1, 14)
     out.put(height - 1, 14)
@@ -589,7 +685,7 @@ def encode(width: int, height: int, pixels: list[int], transforms: str = "", cac
         if t == "p":
             size, blocks = 2, _part(now, 2) * _part(height, 2)
             out.put(size - 2, 3)
-            modes = [k % 14 for k in range(blocks)]
+            modes = [(first_mode + k) % 14 for k in range(blocks)]
             _write_image(out, [m << 8 | _OPAQUE for m in modes], _part(now, size), False)
             across, plain = _part(now, size), pixels
             pixels = [_minus(p, _neighbours(plain, k, now, modes[(k // now >> size) * across + (k % now >> size)])) for k, p in enumerate(plain)]
@@ -675,7 +771,7 @@ def _paint(batches):
                 argb = 255 << 24 | level << 16 | level << 8 | level
             else:
                 argb = 255 << 24 | level << 16 | np.roll(level, -1) << 8 | np.roll(level, -7)
-            files.append(encode(8, 8, argb.tolist(), transforms, cache, shift))
+            files.append(encode(8, 8, argb.tolist(), transforms, cache, shift, k // len(VARIANTS) % 14))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(files, pa.binary())], names=["vec_id", "media"])
 
 
