@@ -7,9 +7,9 @@ min-hashes is the least with which such a pair shares a band with probability CE
 shingles of any kind than containment demands can't be verified and is passed over before hashing.  Retrieved templates are
 verified by their exact containment.
 
-Defined results: null, empty and one-word texts hold no license; a text of any length is scanned whole; of equal containments
-in a document the first place counts, repeated rows give repeated results, a document may hold several licenses; templates of
-fewer than two words match nothing; a document without doc_id is scanned, its rows have a null doc_id; columns other than
+Defined results: null, empty and one-word texts hold no license; a text of any length is scanned whole; every occurrence is told, of
+overlapping windows the one of best containment, of equal ones the first; repeated rows give repeated results, a document may hold
+several licenses; templates of fewer than two words match nothing; a document without doc_id is scanned, its rows have a null doc_id; columns other than
 doc_id and text are ignored; an empty table gives no rows.
 
 Scale: one narrow pass, no shuffle; the templates are a fixed list that travels with the tasks.
@@ -58,6 +58,24 @@ TEMPLATES: dict[str, str] = {
     "unlicense": "This is free and unencumbered software released into the public domain.",
 }
 
+_AS_IS = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_BSD_1 = "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+_BSD_2 = "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+_BSD_3 = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+_BSD_END = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_BSD_HEAD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+#: Whole texts, without title and copyright line.
+TEMPLATES |= {
+    "mit": TEMPLATES["mit-grant"] + ", and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. " + _AS_IS,
+    "bsd-2-clause": _BSD_HEAD + _BSD_1 + _BSD_2 + _BSD_END,
+    "bsd-3-clause": _BSD_HEAD + _BSD_1 + _BSD_2 + _BSD_3 + _BSD_END,
+    "isc": TEMPLATES["isc-grant"] + " THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    "unlicense-whole": TEMPLATES["unlicense"] + " Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. " + _AS_IS.split(" AND NONINFRINGEMENT.")[0],
+    "gpl-3.0-header": TEMPLATES["gpl-notice"] + ", either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
+    "apache-2.0-header": TEMPLATES["apache-2.0-notice"] + " " + TEMPLATES["apache-2.0-warranty"] + " See the License for the specific language governing permissions and limitations under the License.",
+}
+
 
 def floor(n: int, window: int) -> float:
     """The least Jaccard similarity of a window (words) and a template (n shingles) that it contains."""
@@ -105,7 +123,7 @@ class Index:
             self.groups.append((window, stride, math.ceil(CONTAINMENT * least), n_bands, keys, [table[int(x)] for x in keys]))
 
     def scan(self, column: pa.Array) -> tuple[Words, list[tuple[int, int, float, int, int]]]:
-        """(words, [(document, template, containment, first word, last word) of the best window of each])."""
+        """(words, [(document, template, containment, first word, last word)]): of windows whose occurrences overlap the best one."""
         words = Words(column)
         value, at = words.shingles(2)
         pair = np.zeros(len(words), np.uint64)
@@ -118,7 +136,7 @@ class Index:
         mine[at] = self.any[place] == value
         np.cumsum(mine, out=known[1:])
         hot = np.flatnonzero(mine)
-        best: dict[tuple[int, int], tuple[float, int, int]] = {}
+        every: dict[tuple[int, int], set[tuple[float, int, int]]] = {}
         for window, stride, need, n_bands, keys, owners in self.groups:
             # windows begin at every stride-th word of a document; only those around a template's shingle can count
             doc = words.doc[hot]
@@ -147,12 +165,16 @@ class Index:
                     score = len(np.unique(shingles[r][hit])) / len(self.sets[k])
                     if score >= CONTAINMENT:
                         spots = np.flatnonzero(hit & inside[r])
-                        # the best containment, then the first place
-                        found = (-score, int(b[r] + spots[0]), int(b[r] + spots[-1] + 1))
-                        slot = (int(d[r]), k)
-                        if slot not in best or found < best[slot]:
-                            best[slot] = found
-        return words, [(d, k, -s, a, z) for (d, k), (s, a, z) in best.items()]
+                        every.setdefault((int(d[r]), k), set()).add((-score, int(b[r] + spots[0]), int(b[r] + spots[-1] + 1)))
+        out = []
+        for (doc, k), found in every.items():
+            taken: list[tuple[int, int]] = []
+            # the best containment first, then the first place
+            for score, first, last in sorted(found):
+                if all(last < x or first > y for x, y in taken):
+                    taken.append((first, last))
+                    out.append((doc, k, -score, first, last))
+        return words, out
 
 
 _ready: dict[tuple, Index] = {}
@@ -186,7 +208,7 @@ def _scan(templates: dict[str, str]):
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
-    """(doc_id, license, containment, start, end): the best occurrence, in characters, of each license in each document."""
+    """(doc_id, license, containment, start, end): every occurrence, in characters, of each license in each document."""
     _spark.bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     return rows.mapInArrow(_scan(TEMPLATES if templates is None else templates), "doc_id bigint, license string, containment double, start int, end int")
