@@ -6,6 +6,8 @@ A span is struct<type, start, end, text, confidence, source>; offsets count code
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -40,7 +42,19 @@ def cut(text: Column, start: Column, end: Column) -> Column:
     return F.substring(text, start + 1, end - start)
 
 
-def matches(text: Column | str, pattern: str, group: str = "whole", needs: str | None = None) -> Column:
+def gate(text: Column, needs: str | tuple, known: dict[str, Column] | None = None) -> Column:
+    """Whether a text has what a rule needs; known: columns that hold the shared gates (and, as "lower", the text in lower case)."""
+    known = known or {}
+    if isinstance(needs, tuple):
+        low = known.get("lower", F.lower(text))
+        parts = [low.contains(n) if isinstance(n, str) else reduce(or_, (low.contains(x) for x in n)) for n in needs]
+        return reduce(and_, parts)
+    if needs in known:
+        return known[needs]
+    return text.contains(needs) if len(needs) == 1 else text.rlike(needs)
+
+
+def matches(text: Column | str, pattern: str, group: str = "whole", needs: str | tuple | None = None, known: dict[str, Column] | None = None) -> Column:
     """Offsets of all matches.  Spark has the matches and the pieces between them; a fold adds up their lengths.
     Texts without a match, nearly all of them, never reach the fold."""
     t, p = col(text), F.lit(pattern)
@@ -58,7 +72,7 @@ def matches(text: Column | str, pattern: str, group: str = "whole", needs: str |
 
     there = t.rlike(pattern)
     if needs is not None:
-        there = (t.contains(needs) if len(needs) == 1 else t.rlike(needs)) & there
+        there = gate(t, needs, known) & there
     return F.when(there, F.aggregate(zipped, start, step, lambda acc: acc["out"])).otherwise(empty(OFFSETS))
 
 
@@ -82,14 +96,14 @@ def rrn(text: Column | str) -> Column:
     return F.when(F.size(d) == 13, (11 - total % 11) % 10 == F.get(d, F.lit(12))).otherwise(False)
 
 
-def rule_spans(text: Column | str, rules: Sequence[R.Rule] = R.PII_RULES, source: str = "rule") -> Column:
+def rule_spans(text: Column | str, rules: Sequence[R.Rule] = R.PII_RULES, source: str = "rule", known: dict[str, Column] | None = None) -> Column:
     """The spans of a rule table, in the table's order."""
-    parts = [_rule_spans(text, rule, source) for rule in rules]
+    parts = [_rule_spans(text, rule, source, known) for rule in rules]
     return F.concat(*parts) if parts else empty(SPANS)
 
 
-def _rule_spans(text: Column | str, rule: R.Rule, source: str) -> Column:
-    found = matches(text, rule.pattern, rule.group, rule.needs)
+def _rule_spans(text: Column | str, rule: R.Rule, source: str, known: dict[str, Column] | None = None) -> Column:
+    found = matches(text, rule.pattern, rule.group, rule.needs, known)
     if rule.validator:
         check = luhn if rule.validator == "luhn" else rrn
         found = F.filter(found, lambda x: check(x["text"]))
@@ -123,10 +137,13 @@ def correct_entities(text: Column | str, entities: Column) -> Column:
 
 
 def dedupe(items: Column) -> Column:
-    """Sorted by (start, end, falling confidence, order), the first of each (type, start, end)."""
-    keyed = F.array_sort(F.transform(items, lambda x, i: F.struct(x["start"].alias("s"), x["end"].alias("e"), (-x["confidence"]).alias("c"), i.alias("i"), x.alias("x"))))
-    same = lambda a, b: (a["type"] == b["type"]) & (a["start"] == b["start"]) & (a["end"] == b["end"])
-    return let(F.transform(keyed, lambda k: k["x"]), lambda v: F.aggregate(v, F.filter(v, lambda x: F.lit(False)), lambda acc, x: F.when(F.exists(acc, lambda y: same(x, y)), acc).otherwise(F.concat(acc, F.array(x)))))
+    """Sorted by (start, end, falling confidence, order), the first of each (type, start, end).  Equal ones are neighbours after a
+    sort that has the type third, so each is compared with one other: n log n however many there are."""
+    keyed = F.array_sort(F.transform(items, lambda x, i: F.struct(x["start"].alias("s"), x["end"].alias("e"), x["type"].alias("t"), (-x["confidence"]).alias("c"), i.alias("i"), x.alias("x"))))
+    same = lambda a, b: (a["s"] == b["s"]) & (a["e"] == b["e"]) & a["t"].eqNullSafe(b["t"])
+    first = lambda v: F.filter(v, lambda k, i: (i == 0) | ~same(k, F.get(v, i - 1)))
+    order = lambda k: F.struct(k["s"], k["e"], k["c"], k["i"], k["x"].alias("x"))
+    return let(keyed, lambda v: F.transform(F.array_sort(F.transform(first(v), order)), lambda k: k["x"]))
 
 
 def shift(items: Column, by: Column, text: Column) -> Column:

@@ -17,9 +17,19 @@ from . import segment
 SPREAD_BYTES = 256 << 20
 
 
+def fresh(df: DataFrame, n: int, *taken: str) -> list[str]:
+    """n column names that df doesn't have, in any case, and that aren't taken otherwise."""
+    have = {c.lower() for c in (*df.columns, *taken)}
+    return [name for k in range(n + len(have)) if (name := f"_own{k}") not in have][:n]
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Deals a small input out to all cores before costly expressions; a large one has row groups enough and isn't shuffled."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Deals a small input out to all cores before costly expressions; a large one has row groups enough and isn't shuffled.  A session
+    that doesn't tell the plan's size (a remote one) scans it where it lies."""
+    plan = getattr(df, "_jdf", None)
+    if plan is None:
+        return df
+    size = int(str(plan.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SPREAD_BYTES else df
 
 
@@ -43,7 +53,13 @@ class RuleDetector(Detector):
         self.name, self.kind, self.rules = name, kind, rules
 
     def spans(self, df: DataFrame, out: str = "spans") -> DataFrame:
-        return df.withColumn(out, F.when(F.col("text").rlike(r"(?U)\S"), S.dedupe(S.rule_spans("text", self.rules))).otherwise(S.empty(S.SPANS)))
+        """What several rules need is looked for once a text, in columns of their own."""
+        shared = {R.HANGUL: F.col("text").rlike(R.HANGUL), R.DIGITS: F.col("text").rlike(R.DIGITS), "lower": F.lower("text")}
+        wanted = [r.needs if isinstance(r.needs, str) else "lower" for r in self.rules if r.needs is not None]
+        names = {k: name for k, name in zip(shared, fresh(df, len(shared), out)) if wanted.count(k) > 1}
+        gated = df.withColumns({name: shared[k] for k, name in names.items()}) if names else df
+        found = S.dedupe(S.rule_spans("text", self.rules, known={k: F.col(name) for k, name in names.items()}))
+        return gated.withColumn(out, F.when(F.col("text").rlike(r"(?U)\S"), found).otherwise(S.empty(S.SPANS))).drop(*names.values())
 
 
 class NumberRuleDetector(Detector):
@@ -59,29 +75,42 @@ class NumberRuleDetector(Detector):
 class ModelDetector(Detector):
     """A model over windows of chunks.  predict: texts -> for each a list of (label, begin, end)."""
 
-    def __init__(self, name: str, load: Callable[[], Callable[[list[str]], list[list[tuple[str, int, int]]]]], kind: str = "pii", ready: Callable[[], bool] = lambda: True, confidence: float = 0.9):
-        self.name, self.kind, self.load, self._ready, self.confidence = name, kind, load, ready, confidence
+    def __init__(self, name: str, load: Callable[[], Callable[[list[str]], list[list[tuple[str, int, int]]]]], kind: str = "pii", ready: Callable[[], bool] = lambda: True, confidence: float = 0.9, batch: int = 8):
+        self.name, self.kind, self.load, self._ready, self.confidence, self.batch = name, kind, load, ready, confidence, batch
 
     def ready(self) -> bool:
         return self._ready()
 
     def spans(self, df: DataFrame, out: str = "spans") -> DataFrame:
-        load = self.load
+        """A document's windows go to the model as one array and its entities come back as one, in the same row: nothing is exploded,
+        shuffled or sent twice.  The first window that finds an entity counts (J3)."""
+        load, most = self.load, self.batch
 
-        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
             predict = load()  # once a task, not once a batch
-            for texts in batches:
-                found = predict([x or "" for x in texts])
-                yield pd.Series([[{"type": t, "start": b, "end": e} for t, b, e in x] for x in found])
+            for rows, size in batches:
+                size = size.clip(lower=0).astype(int).tolist()
+                flat = [w["text"] or "" for x in rows if x is not None for w in x]
+                found = [y for at in range(0, len(flat), most) for y in predict(flat[at : at + most])]
+                out, at = [], 0
+                for x, n in zip(rows, size):
+                    seen: dict = {}
+                    for w, entities in zip(x if n else (), found[at : at + n]):
+                        for t, begin, end in entities:
+                            seen.setdefault((t, begin + w["offset"], end + w["offset"]), None)
+                    at += n
+                    out.append([{"type": t, "start": b, "end": e} for t, b, e in seen])
+                yield pd.Series(out, dtype=object)
 
         model = F.pandas_udf(run, "array<struct<type:string,start:int,end:int>>")
-        keyed = df.withColumn("_row", F.monotonically_increasing_id())
         parts = F.flatten(F.transform(segment.chunk_structs(F.col("text"), segment.CHUNK, segment.CHUNK_OVERLAP), lambda c: F.transform(segment.chunk_structs(c["chunk_text"], segment.WINDOW, segment.WINDOW_OVERLAP), lambda w: F.struct((c["offset"] + w["offset"]).alias("offset"), w["chunk_text"].alias("text")))))
-        rows = keyed.withColumn("_w", F.explode_outer(parts))
-        judged = rows.withColumn("_e", model(F.col("_w.text")))
-        own = F.transform("_e", lambda x: S.span(S.entity_type(x["type"]), x["start"] + F.col("_w.offset"), x["end"] + F.col("_w.offset"), S.cut(F.col("text"), x["start"] + F.col("_w.offset"), x["end"] + F.col("_w.offset")), F.lit(self.confidence), F.lit("encoder")))
-        grouped = judged.withColumn("_s", own).groupBy("_row").agg(*(F.first(c).alias(c) for c in df.columns), F.flatten(F.collect_list("_s")).alias("_all"))
-        return grouped.withColumn(out, S.dedupe(F.col("_all"))).select(*df.columns, out)
+        # blank texts never reach the model
+        given, found = fresh(df, 2, out)
+        # the size beside the array makes it a column of its own: planned into the call, its nested lambdas are not extracted
+        windows = df.withColumn(given, F.when(F.col("text").rlike(r"(?U)\S"), parts))
+        judged = windows.withColumn(found, model(F.col(given), F.coalesce(F.size(given), F.lit(0))))
+        own = F.transform(found, lambda x: S.span(S.entity_type(x["type"]), x["start"], x["end"], S.cut(F.col("text"), x["start"], x["end"]), F.lit(self.confidence), F.lit("encoder")))
+        return judged.select(*df.columns, S.dedupe(own).alias(out))
 
 
 _REGISTRY: dict[str, Callable[[], Detector]] = {
@@ -120,8 +149,9 @@ def contained(items: DataFrame, chunked: DataFrame, size: int = segment.CHUNK, o
 
 
 def explode_spans(df: DataFrame, *keys: str, spans: str = "spans") -> DataFrame:
-    """One row a span."""
-    return df.select(*keys, F.posexplode(spans).alias("ord", "_s")).select(*keys, "ord", "_s.*")
+    """One row a span.  The outer explode keeps the planner from deriving "the array isn't empty" and pushing that, the whole detector
+    with it, below an exchange: spans would be found twice."""
+    return df.select(*keys, F.posexplode_outer(spans).alias("ord", "_s")).where("ord is not null").select(*keys, "ord", "_s.*")
 
 
 def hidden_text(html: Column) -> Column:

@@ -95,3 +95,48 @@ def dedupe_ttl(events: DataFrame, keys: list[str], ts: str, seconds: int) -> Dat
 def last_per_subscriber(events: DataFrame, key: str, order: Column, n: int = 64) -> DataFrame:
     """A bounded queue that drops its oldest: the newest n of each subscriber."""
     return events.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(order.desc()))).where(F.col("_n") <= n).drop("_n")
+
+
+def step_events(scanned: DataFrame) -> DataFrame:
+    """(doc_id, seq, type, step, done, scan_status, reason): the steps 1, 2, 4 and 5 of a scanned document, each with a start and an
+    end; a document that wasn't scanned warns after the first.  There is no step 3."""
+    event = lambda kind, step, done: F.struct(F.lit(kind).alias("type"), F.lit(step).cast("int").alias("step"), F.lit(done).cast("boolean").alias("done"))
+    steps = lambda *numbers: [event("step", k, d) for k in numbers for d in (False, True)]
+    whole, short = F.array(*steps(*STAGE_OF_STEP)), F.array(*steps(1), event("warning", None, None))
+    rows = scanned.select("doc_id", "scan_status", "reason", F.posexplode(F.when(F.col("scan_status") == "ok", whole).otherwise(short)).alias("at", "e"))
+    warns = F.col("e.type") == "warning"
+    return rows.select("doc_id", (F.col("at") + 1).alias("seq"), "e.*", F.when(warns, F.col("scan_status")).alias("scan_status"), F.when(warns, F.col("reason")).alias("reason"))
+
+
+def replay(log: DataFrame, key: str, after: int) -> DataFrame:
+    """K9: of a numbered log what comes after a number, and a last row of type eof for each key that has any row."""
+    rest = tail(log, after).select(key, "seq", "type")
+    ends = log.groupBy(key).agg((F.max("seq") + 1).cast(log.schema["seq"].dataType).alias("seq")).withColumn("type", F.lit("eof"))
+    return rest.unionByName(ends)
+
+
+def from_pipeline(events: DataFrame, origin: str = "origin") -> DataFrame:
+    """Only what opted in to the broadcast: scans, and no downloads."""
+    return events.where(F.col(origin) == "pipeline")
+
+
+def after_snapshots(events: DataFrame, subscriber: str = "subscriber") -> DataFrame:
+    """(subscriber, job_id) in progress: a snapshot (active: array of job ids) replaces all that was known, events after it are folded
+    onto it; (subscriber, seq, type, job_id, phase, active) of any number of subscribers.  Two shuffles by subscriber and job, no
+    group is gathered."""
+    last = events.where("type = 'snapshot'").groupBy(subscriber).agg(F.max_by("active", "seq").alias("active"), F.max("seq").alias("since"))
+    known = last.select(subscriber, F.explode("active").alias("job_id"), F.col("since").alias("seq"), F.lit("progress").alias("phase"))
+    later = events.where("type <> 'snapshot' and job_id is not null").join(last.select(subscriber, "since"), subscriber, "left").where("since is null or seq > since")
+    rows = known.unionByName(later.select(subscriber, "job_id", "seq", "phase"))
+    return rows.groupBy(subscriber, "job_id").agg(F.max_by("phase", "seq").alias("phase")).where("phase <> 'finish'").select(subscriber, "job_id")
+
+
+def review_outcomes(opened: DataFrame, decided: DataFrame, timeout: str = "10 minutes") -> DataFrame:
+    """(session_id, action, reason) of opened (session_id, opened_at) and decided (session_id, decided_at, action): a decision in time
+    counts, else the session is cancelled.  The same plan serves streams with watermarks on both times: the outer join's
+    time bound is the timer."""
+    o, d = opened.alias("o"), decided.alias("d")
+    in_time = (F.col("d.decided_at") >= F.col("o.opened_at")) & (F.col("d.decided_at") < F.col("o.opened_at") + F.expr(f"interval {timeout}"))
+    both = o.join(d, (F.col("o.session_id") == F.col("d.session_id")) & in_time, "left")
+    late = F.col("d.action").isNull()
+    return both.select("o.session_id", F.coalesce("d.action", F.lit("cancel")).alias("action"), F.when(late, "timeout").alias("reason"))

@@ -27,22 +27,23 @@ def scan(docs: DataFrame, pii: tuple[str, ...] = ("rules_pii",), injection: tupl
         df = df.withColumn("scan_status", F.when(F.col("scan_status") == "ok", "models_not_ready").otherwise(F.col("scan_status")))
     active = (F.col("scan_status") == "ok") & F.col("text").isNotNull()
     kinds = {"pii": [], "injection": []}
-    for k, d in enumerate(detectors):
-        df = d.spans(df, f"_d{k}") if all(x.ready() for x in detectors) else df.withColumn(f"_d{k}", S.empty(S.SPANS))
-        kinds["pii" if k < len(pii) else "injection"].append(F.col(f"_d{k}"))
+    masked, *names = detect.fresh(df, len(detectors) + 1)
+    for k, (d, name) in enumerate(zip(detectors, names)):
+        df = d.spans(df, name) if all(x.ready() for x in detectors) else df.withColumn(name, S.empty(S.SPANS))
+        kinds["pii" if k < len(pii) else "injection"].append(F.col(name))
     for kind, parts in kinds.items():
         found = F.concat(*parts) if parts else S.empty(S.SPANS)
         df = df.withColumn(f"{kind}_items", F.when(active, S.dedupe(found) if len(parts) > 1 else found).otherwise(S.empty(S.SPANS)))
-    df = df.withColumn("_m", F.when(active, S.mask("text", F.concat("pii_items", "injection_items"))))
+    df = df.withColumn(masked, F.when(active, S.mask("text", F.concat("pii_items", "injection_items"))))
     blocked = (F.size("injection_items") > 0) & F.lit(policy == "block")
     return (
-        df.withColumn("masked_text", F.coalesce("_m.masked_text", "text"))
-        .withColumn("applied", F.coalesce("_m.applied", S.empty(S.APPLIED)))
+        df.withColumn("masked_text", F.coalesce(F.col(masked)["masked_text"], "text"))
+        .withColumn("applied", F.coalesce(F.col(masked)["applied"], S.empty(S.APPLIED)))
         .withColumn("blocked", blocked)
         .withColumn("injection_policy", F.lit(policy))
         # counts are of what was found, before merging
         .withColumn("stats", F.struct(F.size("pii_items").alias("pii_count"), F.size("injection_items").alias("injection_count"), F.coalesce(F.length("text"), F.lit(0)).alias("original_length")))
-        .drop("_m", *(f"_d{k}" for k in range(len(detectors))))
+        .drop(masked, *names)
     )
 
 
@@ -125,3 +126,28 @@ def text_limit(docs: DataFrame, most: int = 100_000) -> DataFrame:
     """Too long a prompt is rejected, with the reason."""
     too_long = F.length("text") > most
     return docs.select("*", F.when(too_long, "unsupported").otherwise("ok").alias("scan_status"), F.when(too_long, F.concat(F.lit("more than "), F.lit(most), F.lit(" characters"))).cast("string").alias("reason"))
+
+
+def _file(spark, path: str) -> DataFrame:
+    """A single file, parsed; a path that leads to none is an error."""
+    from ..sources import files
+
+    rows = spark.read.format("binaryFile").load(path)
+    named = rows.select("path", F.regexp_extract("path", "([^/]*)$", 1).alias("file_name"), "length", "content")
+    return files.parse(named.withColumn("mime_type", files.mime_type("file_name"))).withColumn("doc_id", F.xxhash64("path"))
+
+
+def scan_file(spark, path: str) -> DataFrame:
+    """a file's safe view, with its path."""
+    done = scan(_file(spark, path))
+    return safe_view(done).join(done.select("doc_id", "path"), "doc_id")
+
+
+def secure_read_file(spark, path: str) -> DataFrame:
+    """(path, decision, content, scan_status, reason, stats): the masked text of a document or a text file; nothing of a binary
+    one."""
+    from ..sources.files import file_kind
+
+    done = gate(scan(_file(spark, path)), file_kind("file_name") == "binary")
+    shut = F.col("decision") == "blocked"
+    return done.select("path", "decision", F.when(shut, "").otherwise(F.col("masked_text")).alias("content"), "scan_status", F.when(shut, "a binary file's content is not given out").otherwise(F.col("reason")).alias("reason"), "stats")

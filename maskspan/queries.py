@@ -535,3 +535,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detect, merge, mask and count: one row a document."""
     done = scan.scan(table(spark, sf_dir, "documents"))
     return done.select("doc_id", "masked_text", "stats.pii_count", "stats.injection_count", scan.type_map(F.concat("pii_items", "injection_items")).alias("type_counts"))
+
+
+from . import queries_more  # noqa: E402,F401  registers its queries

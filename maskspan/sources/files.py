@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.spans import extension, masked_name
+from ..operators.detect import fresh
+from .pdf import pdf_text
 
 DOCUMENTS = tuple(".pdf .pptx .xlsx .hwpx .hwp .docx".split())
 TEXTS = (".c", ".cfg", ".cpp", ".css", ".csv", ".env", ".go", ".html", ".ini", ".java", ".js", ".json", ".log", ".md", ".py", ".rs", ".sh", ".sql", ".toml", ".ts", ".tsv", ".txt", ".xml", ".yaml", ".yml")
@@ -33,7 +35,6 @@ MIME = {
 }
 #: S12.
 REASONS = {
-    ".pdf": "no PDF parser is installed",
     ".hwp": "HWP needs an office suite on the workers",
     ".hwpx": "HWPX needs its own office suite",
     ".xls": "the old spreadsheet format is not read: save as .xlsx",
@@ -171,7 +172,9 @@ def pptx_text(data: bytes) -> str:
     return "\n\n".join(out)
 
 
-_BINARY = {".docx": docx_text, ".xlsx": xlsx_text, ".pptx": pptx_text}
+#: S5.
+SCANNED = "a scanned PDF: its pages hold no text"
+_BINARY = {".docx": docx_text, ".xlsx": xlsx_text, ".pptx": pptx_text, ".pdf": pdf_text}
 _EXTENSION_OF = {v: k for k, v in MIME.items()}
 
 
@@ -182,7 +185,8 @@ def parse_one(data, mime, name):
     if ext in REASONS:
         return "", "unsupported", REASONS[ext]
     try:
-        return (_BINARY[ext] if ext in _BINARY else decode_text)(bytes(data or b"")), "ok", None
+        text = (_BINARY[ext] if ext in _BINARY else decode_text)(bytes(data or b""))
+        return ("", "unsupported", SCANNED) if text is None else (text, "ok", None)
     except Exception as e:  # any file may be broken in any way: its row says so
         return "", "failed", f"{type(e).__name__}: {e}"
 
@@ -201,8 +205,10 @@ def parse(files: DataFrame) -> DataFrame:
     plain = ~ext.isin(*_BINARY, *REASONS) & ~F.coalesce(mime, F.lit("")).isin(*(MIME[x] for x in DOCUMENTS)) & F.is_valid_utf8(F.col("content").cast("string"))
     simple = F.struct(F.col("content").cast("string").alias("text"), F.lit("ok").alias("scan_status"), F.lit(None).cast("string").alias("reason"))
     # a file that the JVM has read goes to Python as null
-    parsed = files.withColumn("_plain", F.coalesce(plain, F.lit(False))).withColumn("_other", others(F.when(~F.col("_plain"), F.col("content")), mime, F.when(~F.col("_plain"), F.col("file_name"))))
-    return parsed.withColumn("_r", F.when(F.col("_plain"), simple).otherwise(F.col("_other"))).select(*[c for c in files.columns if c != "content"], "_r.*")
+    is_plain, other, result = fresh(files, 3)
+    unread = ~F.col(is_plain)
+    parsed = files.withColumn(is_plain, F.coalesce(plain, F.lit(False))).withColumn(other, others(F.when(unread, F.col("content")), mime, F.when(unread, F.col("file_name"))))
+    return parsed.withColumn(result, F.when(F.col(is_plain), simple).otherwise(F.col(other))).select(*[c for c in files.columns if c != "content"], f"{result}.*")
 
 
 def readable_text(files: DataFrame) -> DataFrame:

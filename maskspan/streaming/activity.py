@@ -14,6 +14,8 @@ from ..operators import jobs
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below the one that spark.checkpoint.dir names; a temporary one where that is unset (tests)."""
     base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{base or tempfile.mkdtemp(prefix='maskspan-')}/stream-{uuid.uuid4().hex}"
 
 
@@ -86,3 +88,22 @@ def frames(chunks: DataFrame, column: str = "value") -> DataFrame:
     parts = chunks.select(F.explode(F.split(column, r"\r?\n\r?\n")).alias("frame"))
     data = parts.select(F.regexp_extract("frame", r"(?m)^data: ?(.*)$", 1).alias("data")).where("data <> ''")
     return data.where(F.try_parse_json("data").isNotNull())
+
+
+def broadcast_frames(active: DataFrame, events: DataFrame) -> DataFrame:
+    """(position, frame): a subscriber's first frame is the snapshot of the active jobs (active: job_id, phase), then the events by
+    seq.  The active set is bounded by the jobs that run at a time."""
+    jobs_ = active.agg(F.array_sort(F.collect_list(F.struct("job_id", "phase"))).alias("active"))
+    first = jobs_.select(F.lit(0).cast("bigint").alias("position"), F.to_json(F.struct(F.lit("snapshot").alias("type"), "active")).alias("data"))
+    rest = events.select(F.col("seq").cast("bigint").alias("position"), F.to_json(F.struct(F.lit("activity").alias("type"), "job_id", "phase")).alias("data"))
+    return first.unionByName(rest).select("position", F.concat(F.lit("data: "), "data", F.lit("\n\n")).alias("frame"))
+
+
+def broadcast_sink(path: str):
+    """K10 as foreachBatch: every trigger's events as frames, in a folder of its own; one that is repeated after a failure overwrites it."""
+
+    def sink(batch: DataFrame, epoch: int) -> None:
+        rows = batch.select(F.to_json(F.struct("*")).alias("data"))
+        rows.select(F.concat(F.lit("data: "), "data", F.lit("\n")).alias("value")).write.mode("overwrite").text(f"{path}/epoch={epoch:08d}")
+
+    return sink

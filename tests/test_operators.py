@@ -469,7 +469,7 @@ def test_files(spark, tmp_path):
         (tmp_path / name).write_bytes(data)
     table = files.scan_folder(spark, str(tmp_path))
     rows = {r.file_name: r for r in files.parse(table).collect()}
-    assert {n: r.scan_status for n, r in rows.items()} == {"a.txt": "ok", "b.txt": "ok", "c.docx": "ok", "d.xlsx": "ok", "e.pptx": "ok", "f.pdf": "unsupported", "g.docx": "failed", "h.hwp": "unsupported", "x.env": "ok", "i.bin": "ok"}
+    assert {n: r.scan_status for n, r in rows.items()} == {"a.txt": "ok", "b.txt": "ok", "c.docx": "ok", "d.xlsx": "ok", "e.pptx": "ok", "f.pdf": "failed", "g.docx": "failed", "h.hwp": "unsupported", "x.env": "ok", "i.bin": "ok"}
     assert rows["a.txt"].text == rows["b.txt"].text == "안녕"
     assert rows["c.docx"].text == "첫 줄\n\n둘째 010-1234-5678"
     assert rows["d.xlsx"].text == "[표]\n이름 | 전화\n5"
