@@ -9,14 +9,12 @@ Defined results: a document whose text is null, empty or without a word has no s
 one-word document is its word; ties and repeated rows go to the least doc_id; a row without doc_id is left alone;
 columns other than doc_id and text are ignored; an empty table gives no rows.
 
-Scale: the comparison is quadratic in the distinct signatures (that is the method); the shuffle carries 36 bytes a
+Scale: the comparison is quadratic in the distinct signatures (that is the method); the shuffle carries 32 bytes a
 document plus the surviving tile pairs' blobs.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -32,12 +30,6 @@ RADIUS = 26
 TILE = 16384
 
 
-def min_ratio(radius: int = RADIUS) -> float:
-    """Nested bags whose sizes are in a lower ratio are expected beyond the radius; repeated text isn't, so no pair is skipped
-    for it."""
-    return math.cos(math.pi * radius / 128) ** 2
-
-
 def _signature(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(features, high half, low half) of each document."""
     count = np.diff(words.first)
@@ -73,7 +65,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_sign, "doc_id bigint, n int, s0 bigint, s1 bigint").where("n > 0")
 
 
-_ROW = np.dtype([("doc", "<i8"), ("s0", "<u8"), ("s1", "<u8"), ("n", "<i4")])
+_ROW = np.dtype([("doc", "<i8"), ("s0", "<u8"), ("s1", "<u8")])
 
 
 def _tiles(size: int):
@@ -90,7 +82,7 @@ def _tiles(size: int):
 
         for batch in batches:
             rows = np.empty(batch.num_rows, _ROW)
-            for name, k in (("doc", 0), ("n", 1), ("s0", 2), ("s1", 3)):
+            for name, k in (("doc", 0), ("s0", 1), ("s1", 2)):
                 x = batch.column(k).to_numpy(zero_copy_only=False)
                 rows[name] = x.view(np.uint64) if x.dtype == np.int64 and name != "doc" else x
             rest.append(rows)
@@ -106,26 +98,30 @@ def _tiles(size: int):
     return pack
 
 
-def close_pairs(a: np.ndarray, b: np.ndarray, radius: int, ratio: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Indices (i, j) of all rows within the radius whose feature counts are at least in the ratio (0: any); i < j when both
-    tiles are one."""
-    step = max(1, (1 << 16) // max(1, len(b)))
-    b0, b1 = np.ascontiguousarray(b["s0"]), np.ascontiguousarray(b["s1"])
-    left, right = [], []
+def close_pairs(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Indices (i, j) of all rows within the radius; i < j when both tiles are one."""
+    step = max(1, min(len(a), (1 << 17) // max(1, len(b))))
+    a0, a1, b0, b1 = (np.ascontiguousarray(x[name]) for x in (a, b) for name in ("s0", "s1"))
+    differ, bits, rest, near = (np.empty((step, len(b)), t) for t in (np.uint64, np.uint8, np.uint8, bool))
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for at in range(0, len(a), step):
-        x = a[at : at + step]
-        # one of the halves of a pair within the radius differs in half of it at most
-        near = np.bitwise_count(x["s0"][:, None] ^ b0) <= radius // 2
-        near |= np.bitwise_count(x["s1"][:, None] ^ b1) <= radius // 2
-        i, j = np.nonzero(near)
+        n = min(step, len(a) - at)
+        x, p, q, m = differ[:n], bits[:n], rest[:n], near[:n]
+        np.bitwise_xor(a0[at : at + n, None], b0, out=x)
+        np.bitwise_count(x, out=p)
+        np.bitwise_xor(a1[at : at + n, None], b1, out=x)
+        np.bitwise_count(x, out=q)
+        p += q
+        np.less_equal(p, radius, out=m)
+        if not m.any():
+            continue
+        i, j = np.nonzero(m)
+        i += at
         if same:
-            keep = i + at < j
+            keep = i < j
             i, j = i[keep], j[keep]
-        d = np.bitwise_count(x["s0"][i] ^ b["s0"][j]) + np.bitwise_count(x["s1"][i] ^ b["s1"][j])
-        low, high = np.minimum(x["n"][i], b["n"][j]), np.maximum(x["n"][i], b["n"][j])
-        keep = (d <= radius) & (low >= ratio * high)
-        left.append(i[keep] + at)
-        right.append(j[keep])
+        left.append(i)
+        right.append(j)
     return np.concatenate(left), np.concatenate(right)
 
 
@@ -155,7 +151,7 @@ def _compare(radius: int):
             for k in range(batch.num_rows):
                 same = batch.column(0)[k].as_py() == batch.column(1)[k].as_py()
                 a, b = (np.frombuffer(batch.column(c)[k].as_buffer(), _ROW) for c in (2, 3))
-                i, j = close_pairs(a, b, radius, 0.0, same)
+                i, j = close_pairs(a, b, radius, same)
                 if len(i):
                     u, v = _forest(a["doc"][i], b["doc"][j])
                     yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
@@ -167,12 +163,16 @@ def near_edges(reps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataF
     """(u, v) edges whose components are those of all pairs of signatures within the radius."""
     spark = reps.sparkSession
     pop = F.bit_count("s0") + F.bit_count("s1")
-    ordered = reps.select("doc_id", "n", "s0", "s1", pop.alias("p")).orderBy("p", "doc_id")
-    tiles = _spark.cut(ordered.select("doc_id", "n", "s0", "s1").mapInArrow(_tiles(tile), "tile bigint, p_lo int, p_hi int, blob binary"))
+    ordered = reps.select("doc_id", "s0", "s1", pop.alias("p")).orderBy("p", "doc_id")
+    tiles = _spark.cut(ordered.select("doc_id", "s0", "s1").mapInArrow(_tiles(tile), "tile bigint, p_lo int, p_hi int, blob binary"))
     meta = tiles.drop("blob")
     a, b = (meta.select(*(F.col(c).alias(f"{s}_{c}") for c in meta.columns)) for s in "ab")
-    pairs = a.crossJoin(b).where(f"a_tile <= b_tile and b_p_lo - a_p_hi <= {radius} and a_p_lo - b_p_hi <= {radius}")
-    pairs = _spark.cut(pairs.select("a_tile", "b_tile"))
+    # tiles in reach of each other share a step of population counts
+    step = lambda c: F.floor(F.col(c) / (radius + 1))
+    a = a.withColumn("step", F.explode(F.sequence(step("a_p_lo"), step("a_p_hi"))))
+    b = b.withColumn("step", F.explode(F.sequence(step("b_p_lo") - 1, step("b_p_hi") + 1)))
+    pairs = a.join(b, "step").where(f"a_tile <= b_tile and b_p_lo - a_p_hi <= {radius} and a_p_lo - b_p_hi <= {radius}")
+    pairs = _spark.cut(pairs.select("a_tile", "b_tile").distinct())
     n = pairs.count()
     blobs = lambda s: tiles.select(F.col("tile").alias(s + "_tile"), F.col("blob").alias(s))
     work = pairs.join(blobs("a"), "a_tile").join(blobs("b"), "b_tile").select("a_tile", "b_tile", "a", "b")
@@ -183,7 +183,7 @@ def near_edges(reps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataF
 def duplicates(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """(doc_id, duplicate_of): every document of a group but its least doc_id, and that doc_id."""
     signed = _spark.cut(signatures(docs))
-    reps = _spark.cut(signed.groupBy("s0", "s1").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")))
+    reps = _spark.cut(signed.groupBy("s0", "s1").agg(F.min("doc_id").alias("doc_id")))
     roots = _spark.connected_components(near_edges(reps, radius, tile))
     of = reps.join(roots, reps.doc_id == roots.node, "left").select("s0", "s1", F.coalesce("root", reps.doc_id).alias("duplicate_of"))
     groups = signed.join(of, ["s0", "s1"]).select("doc_id", "duplicate_of")
