@@ -2,7 +2,8 @@
 to their first occurrence, documents that hold a benchmark item go, and what is left is encoded as byte-level BPE tokens.
 
 Every stage but the last returns the columns of `documents`; run() writes each stage's result to the shared folder that
-spark.checkpoint.dir names and reads it back, so a lost executor never costs more than the stage at hand.
+spark.checkpoint.dir names and reads it back, so a lost executor never costs more than the stage at hand; a stage's result goes
+when the next one is written.
 """
 
 from __future__ import annotations
@@ -49,7 +50,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{_spark.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before is not None:
+            _spark.remove(spark, f"{folder}/{before}")
+        before = name
     return docs

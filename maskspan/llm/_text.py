@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled by one numpy pass; bounds a Python worker's memory whatever Arrow's batch size is.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 _B = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BINV = np.uint64(pow(int(_B), -1, 1 << 64))

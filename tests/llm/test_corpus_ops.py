@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from pyspark.sql import functions as F
+
 from maskspan.llm import bpe, decontam, langid, licenses, lmscore, simhash, substring, toxicity, urls, webp
 from maskspan.llm._text import Words
 
@@ -36,7 +38,9 @@ def awkward(spark):
         (None, "no id at all", "en", "s", 12, 1.0, "x", 1),
         (8, "😀 héé 日本語", "es", "s", 9, 1.0, "x", 1),
     ]
-    return spark.createDataFrame(data, DOCS + ", score double, license string, toxic int")
+    names = ["_doc", "_key", "_spans", "_gone", "_good", "_id", "_own0", "_OWN1", "of_doc", "root", "part", "key"]
+    clashing = spark.createDataFrame(data, DOCS + ", score double, license string, toxic int")
+    return clashing.withColumns({n: F.lit(k) for k, n in enumerate(names)})
 
 
 def labels(spark, data=()):
@@ -242,10 +246,10 @@ def test_simhash_pairs_are_exact():
     rng = np.random.default_rng(3)
     a = np.zeros(500, simhash._ROW)
     a["s0"], a["s1"] = rng.integers(0, 1 << 63, (2, 500), dtype=np.uint64)
-    a["n"], a["doc"] = rng.integers(90, 110, 500), np.arange(500)
+    a["doc"] = np.arange(500)
     a["s0"][1::2] = a["s0"][::2] ^ np.uint64(0b1011)
     a["s1"][1::2] = a["s1"][::2]
-    i, j = simhash.close_pairs(a, a, 26, 0.5, True)
+    i, j = simhash.close_pairs(a, a, 26, True)
     brute = {(x, y) for x in range(500) for y in range(x + 1, 500) if int(a["s0"][x] ^ a["s0"][y]).bit_count() + int(a["s1"][x] ^ a["s1"][y]).bit_count() <= 26}
     assert set(zip(i.tolist(), j.tolist())) == brute and len(brute) >= 250
 
@@ -264,10 +268,9 @@ def test_simhash_tiles_agree_with_brute_force(spark, sample):
             x = parent[x]
         return x
 
-    ratio = simhash.min_ratio()
     for k, x in enumerate(s):
         for y in s[:k]:
-            if (x[1] ^ y[1]).bit_count() + (x[2] ^ y[2]).bit_count() <= simhash.RADIUS and min(x[3], y[3]) >= ratio * max(x[3], y[3]):
+            if (x[1] ^ y[1]).bit_count() + (x[2] ^ y[2]).bit_count() <= simhash.RADIUS:
                 a, b = sorted((root(x[0]), root(y[0])))
                 parent[b] = a
     wanted = {(d, root(d)) for d in parent if root(d) != d}
@@ -295,6 +298,16 @@ def test_simhash_keeps_repeated_text_whatever_its_length(spark, sample):
     assert len({d for d, _ in wanted if d >= len(texts)}) >= 0.95 * len(texts)
 
 
+def test_simhash_finds_a_text_with_its_beginning_again(spark):
+    rng = random.Random(4)
+    texts = [[f"w{rng.randrange(10**6)}" for _ in range(100)] for _ in range(60)]
+    docs = rows(spark, [" ".join(t) for t in texts] + [" ".join(t + t[:60]) for t in texts])
+    s = {r.doc_id: (r.s0 & (1 << 64) - 1) << 64 | r.s1 & (1 << 64) - 1 for r in simhash.signatures(docs).collect()}
+    near = {k for k in range(60) if (s[k] ^ s[k + 60]).bit_count() <= simhash.RADIUS}
+    assert len(near) >= 55
+    assert {(k + 60, k) for k in near} <= {tuple(r) for r in simhash.duplicates(docs, tile=9).collect()}
+
+
 def test_simhash_awkward(spark):
     out = sorted(tuple(r) for r in simhash.duplicates(awkward(spark)).collect())
     assert out == [(7, 6)]

@@ -1,6 +1,7 @@
 """The corpus pipeline stage by stage on a small planted corpus, and its entry in the driver's contract."""
 
 import random
+from pathlib import Path
 
 import corpus_pipeline
 
@@ -52,6 +53,7 @@ def test_run_and_contract(spark, tmp_path):
     corpus(spark, str(tmp_path))
     out = entry.queries()["pipeline"](spark, str(tmp_path))
     assert out.count() == 127 - 20 - 2 - 1
+    assert not [p for p in Path(spark.sparkContext.getCheckpointDir().removeprefix("file:")).glob("pipeline-*/*") if p.name != corpus_pipeline.STAGES[-1][0]]
     names = [n for n in entry.queries() if n.startswith("op")]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
     assert set(entry.oracle_sql()) <= set(entry.queries())
@@ -62,10 +64,10 @@ def test_stages_on_awkward_tables(spark, tmp_path):
     keeps what its docstring says and all columns."""
     folder = str(tmp_path)
     corpus(spark, folder)
-    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, toxic int, item_id bigint, of_doc bigint, root bigint, _id bigint"
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, toxic int, item_id bigint, of_doc bigint, root bigint, _id bigint, _doc int, _key int, _spans string, _gone int, _good int, _own0 int, _OWN1 int, text_key bigint, start int"
     long = " ".join(f"longword{i % 5003}x{i}" for i in range(30_000))
     rows = [(1, None), (2, ""), (3, " ... "), (None, "text without an id"), (4, long), (5, "two equal texts"), (5, "two equal texts"), (6, "two equal texts"), (None, None)]
-    docs = spark.createDataFrame([(k, t, None, None, None if t is None else len(t), 1, None, 3, None, 7) for k, t in rows], schema)
+    docs = spark.createDataFrame([(k, t, None, None, None if t is None else len(t), 1, None, 3, None, 7, 1, None, "s", 2, 3, 4, 5, 6, 7) for k, t in rows], schema)
     kept = {"toxicity": 9, "simhash": 8, "substring": 9, "decontamination": 9, "bpe": 9}
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, folder)
