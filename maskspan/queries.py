@@ -209,10 +209,16 @@ def unredact_roundtrip(spark, sf_dir):
     return docs.select("doc_id", F.explode(S.map_back(F.col("seg"), inside)).alias("r")).select("doc_id", "r.start", "r.end")
 
 
-@query("segment_cover", f"SELECT doc_id, (2 * count(*) + 1 - count_if(start = 0) - count_if(\"end\" = n) - count_if(coalesce(start = prev, false)))::INTEGER AS parts FROM (SELECT s.*, length(d.text) AS n, lag(s.\"end\") OVER (PARTITION BY s.doc_id ORDER BY s.start) AS prev FROM ({sql_spans(EMAIL, CARD)}) s JOIN documents d USING (doc_id)) GROUP BY doc_id")
+_COVER = f"""SELECT doc_id, md5(string_agg(gap || '<' || txt || '>', '' ORDER BY start) || last(tail ORDER BY start)) AS digest, (count(*) + count_if(gap <> '') + count_if(last_one AND tail <> ''))::INTEGER AS parts FROM (SELECT s.doc_id, s.start, s.txt, substring(d.text, (coalesce(lag(s."end") OVER w, 0) + 1)::BIGINT, (s.start - coalesce(lag(s."end") OVER w, 0))::BIGINT) AS gap, substring(d.text, (s."end" + 1)::BIGINT) AS tail, lead(s.start) OVER w IS NULL AS last_one FROM ({sql_spans(EMAIL, CARD)}) s JOIN documents d USING (doc_id) WINDOW w AS (PARTITION BY s.doc_id ORDER BY s.start)) GROUP BY doc_id"""
+
+
+@query("segment_cover", _COVER)
 def segment_cover(spark, sf_dir):
+    """The cover's parts and all that they hold, items in angle brackets."""
     docs = table(spark, sf_dir, "documents").select("doc_id", S.rule_spans("text", (EMAIL, CARD)).alias("items"), "text").where(F.size("items") > 0)
-    return docs.select("doc_id", F.size(S.cover("text", F.col("items"))).alias("parts"))
+    cover = docs.select("doc_id", S.cover("text", F.col("items")).alias("c"))
+    text = F.array_join(F.transform("c", lambda p: F.when(p["kind"] == "item", F.concat(F.lit("<"), p["text"], F.lit(">"))).otherwise(p["text"])), "")
+    return cover.select("doc_id", F.md5(text).alias("digest"), F.size("c").alias("parts"))
 
 
 # ---- views, policies, statistics
@@ -418,12 +424,16 @@ def cosine_drift(spark, sf_dir):
     return e.join(b, "vec_id").select("vec_id", F.round(stats.cosine(F.col("embedding"), F.col("other")), 6).alias("cosine"))
 
 
-_STAGES = [(1, "ensemble", 863.5), (2, "single", 624.4), (3, "warm", 640.0), (4, "automaton", 378.7), (5, "head", 346.6)]
+_STAGES = "SELECT event_type AS stage, round(sum(value), 2) AS total_ms, row_number() OVER (ORDER BY event_type)::INTEGER AS position FROM events GROUP BY event_type"
 
 
-@query("bench_speedup", "SELECT *, round(lag(total_ms) OVER (ORDER BY position) / total_ms, 4) AS vs_previous, round(first(total_ms) OVER (ORDER BY position) / total_ms, 4) AS vs_first FROM (VALUES " + ", ".join(f"({a}, '{b}', {c}::DOUBLE)" for a, b, c in _STAGES) + ") t(position, stage, total_ms)")
+@query("bench_speedup", f"SELECT position, stage, total_ms, round(lag(total_ms) OVER (ORDER BY position) / total_ms, 4) AS vs_previous, round(first(total_ms) OVER (ORDER BY position) / total_ms, 4) AS vs_first FROM ({_STAGES})")
 def bench_speedup(spark, sf_dir):
-    return stats.speedups(spark.createDataFrame(_STAGES, "position int, stage string, total_ms double"))
+    """An event type as a stage, the sum of its values as its time."""
+    from pyspark.sql import Window
+
+    sums = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("stage")).agg(F.round(F.sum("value"), 2).alias("total_ms"))
+    return stats.speedups(sums.withColumn("position", F.row_number().over(Window.orderBy("stage"))))
 
 
 # ---- gazetteer
@@ -462,7 +472,23 @@ def host_config(spark, sf_dir):
 # ---- scalar operators
 
 
-@query("placeholder_labels", "SELECT * FROM (VALUES " + ", ".join(f"('{t}', '[{R.INJECTION_LABEL if t in R.INJECTION_TYPES else R.TYPE_LABEL.get(t, R.UNKNOWN_LABEL)} 마스킹]', '{R.PANEL_LABEL.get(t, t)}', '{R.LABEL_TYPE.get(t, 'OTHER_PII')}')" for t in (*R.PANEL_LABEL, "SOMETHING")) + ") t(type, placeholder, panel, mapped)")
+#: type/placeholder/name in the panel/type of a model's label, as they must be, written out apart from the tables that are tested.
+_NAMES = (
+    "ADDRESS/[주소_마스킹]/주소/OTHER_PII BANK_ACCOUNT/[계좌번호_마스킹]/계좌번호/OTHER_PII CREDIT_CARD/[카드번호_마스킹]/카드번호/OTHER_PII DATE_OF_BIRTH/[생년월일_마스킹]/생년월일/OTHER_PII "
+    "EMAIL/[이메일_마스킹]/이메일/OTHER_PII ID_NUMBER/[신분증번호_마스킹]/신분증번호/OTHER_PII ORGANIZATION/[기관명_마스킹]/기관명/OTHER_PII OTHER_PII/[개인정보_마스킹]/개인정보/OTHER_PII "
+    "PERSON_NAME/[이름_마스킹]/이름/OTHER_PII PHONE/[전화번호_마스킹]/전화번호/OTHER_PII DATA_EXFILTRATION/[인젝션_마스킹]/데이터_유출_시도/OTHER_PII "
+    "HIDDEN_COMMAND/[인젝션_마스킹]/숨겨진_명령/OTHER_PII INSTRUCTION_OVERRIDE/[인젝션_마스킹]/명령_재정의/OTHER_PII JAILBREAK/[인젝션_마스킹]/탈옥_시도/OTHER_PII "
+    "OTHER_INJECTION/[인젝션_마스킹]/인젝션/OTHER_PII ROLE_MANIPULATION/[인젝션_마스킹]/역할_조작/OTHER_PII SYSTEM_PROMPT_LEAK/[인젝션_마스킹]/시스템_프롬프트_유출/OTHER_PII "
+    "DT_BIRTH/[개인정보_마스킹]/생년월일/DATE_OF_BIRTH FD_MAJOR/[개인정보_마스킹]/전공/OTHER_PII QT_AGE/[개인정보_마스킹]/나이/OTHER_PII QT_PASSPORT_NUMBER/[개인정보_마스킹]/여권번호/ID_NUMBER "
+    "TMI_EMAIL/[개인정보_마스킹]/이메일/EMAIL QT_CARD_NUMBER/[개인정보_마스킹]/카드번호/CREDIT_CARD QT_ACCOUNT_NUMBER/[개인정보_마스킹]/계좌번호/BANK_ACCOUNT "
+    "QT_PLATE_NUMBER/[개인정보_마스킹]/차량번호/OTHER_PII QT_DRIVER_NUMBER/[개인정보_마스킹]/운전면허번호/ID_NUMBER QT_ALIEN_NUMBER/[개인정보_마스킹]/외국인등록번호/ID_NUMBER "
+    "QT_RESIDENT_NUMBER/[개인정보_마스킹]/주민등록번호/ID_NUMBER QT_PHONE/[개인정보_마스킹]/전화번호/PHONE QT_MOBILE/[개인정보_마스킹]/휴대폰번호/PHONE OGG_EDUCATION/[개인정보_마스킹]/학력/OTHER_PII "
+    "CV_POSITION/[개인정보_마스킹]/직위/OTHER_PII OG_DEPARTMENT/[개인정보_마스킹]/부서명/ORGANIZATION OG_WORKPLACE/[개인정보_마스킹]/근무지/ORGANIZATION "
+    "LC_ADDRESS/[개인정보_마스킹]/주소/ADDRESS PS_NAME/[개인정보_마스킹]/이름/PERSON_NAME SOMETHING/[개인정보_마스킹]/SOMETHING/OTHER_PII "
+)
+
+
+@query("placeholder_labels", "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("'" + x.replace("_마스킹", " 마스킹") + "'" if k == 1 else "'" + (x.replace("_", " ") if k == 2 and not x.isascii() else x) + "'" for k, x in enumerate(row.split("/"))) + ")" for row in _NAMES.split()) + ") t(type, placeholder, panel, mapped)")
 def placeholder_labels(spark, sf_dir):
     types = spark.createDataFrame([(t,) for t in (*R.PANEL_LABEL, "SOMETHING")], "type string")
     return types.select("type", S.placeholder("type").alias("placeholder"), S.panel_label("type").alias("panel"), S.entity_type("type").alias("mapped"))
@@ -483,16 +509,25 @@ def sample_seeds(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", stats.sample_seed(F.col("doc_id").cast("string"), 42).alias("seed"))
 
 
-@query("class_scores", "SELECT vec_id, round(exp(a - 0.2) / (exp(a - 0.2) + exp(b) + exp(c)), 6) AS p0, round(exp(b) / (exp(a - 0.2) + exp(b) + exp(c)), 6) AS p1, round(exp(c) / (exp(a - 0.2) + exp(b) + exp(c)), 6) AS p2 FROM (SELECT vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, embedding[3]::DOUBLE AS c FROM embeddings)")
+_EXPS = "list_transform(range(1, 65), lambda i: exp(embedding[i]::DOUBLE - CASE WHEN i = 1 THEN 0.2 ELSE 0 END))"
+
+
+@query("class_scores", f"SELECT vec_id, k::INTEGER AS k, round(p, 6) AS p FROM (SELECT vec_id, unnest(range(64)) AS k, unnest(list_transform(e, lambda x: x / list_sum(e))) AS p FROM (SELECT vec_id, {_EXPS} AS e FROM embeddings))")
 def class_scores(spark, sf_dir):
-    logits = F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double"))
-    p = table(spark, sf_dir, "embeddings").select("vec_id", stats.softmax(logits, -0.2, 0).alias("p"))
-    return p.select("vec_id", *(F.round(F.col("p")[k], 6).alias(f"p{k}") for k in range(3)))
+    """All 64 numbers as logits, the first one with a bias."""
+    logits = F.transform("embedding", lambda x: x.cast("double"))
+    p = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(stats.softmax(logits, -0.2, 0)).alias("k", "p"))
+    return p.select("vec_id", "k", F.round("p", 6).alias("p"))
+
+
+_MEAN = "list_sum(list_transform({}.embedding, lambda x: x::DOUBLE)) / 64"
 
 
-@query("drift_stats", "SELECT count(*) AS n, round(avg((a.label <> b.label)::INTEGER), 6) AS flip_rate, round(avg(abs(a.embedding[1]::DOUBLE - b.embedding[1]::DOUBLE)), 6) AS mean_delta, round(max(abs(a.embedding[1]::DOUBLE - b.embedding[1]::DOUBLE)), 6) AS max_delta FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+@query("drift_stats", f"SELECT count(*) AS n, round(avg((label_a <> label_b)::INTEGER), 6) AS flip_rate, round(avg(abs(x - y)), 6) AS mean_delta, round(max(abs(x - y)), 6) AS max_delta FROM (SELECT a.label AS label_a, b.label AS label_b, {_MEAN.format('a')} AS x, {_MEAN.format('b')} AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)")
 def drift_stats(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding")[0].cast("double").alias("score"))
+    """The mean of all 64 numbers as the score."""
+    score = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double")) / 64
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", score.alias("score"))
     b = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("label").alias("label_b"), F.col("score").alias("score_b"))
     return stats.drift(e.withColumnsRenamed({"label": "label_a", "score": "score_a"}).join(b, "vec_id"))
 
@@ -518,8 +553,9 @@ def locate_phrases(spark, sf_dir):
 
 @query("viterbi_tags")
 def viterbi_tags(spark, sf_dir):
-    """Each embedding as the emissions of 12 words with 5 tags."""
-    rows = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda k: F.transform(F.slice("embedding", k * 5 + 1, 5), lambda x: x.cast("double")))
+    """Each embedding, its first number again at its end, as the emissions of 13 words with 5 tags."""
+    numbers = F.concat("embedding", F.slice("embedding", 1, 1))
+    rows = F.transform(F.sequence(F.lit(0), F.lit(12)), lambda k: F.transform(F.slice(numbers, k * 5 + 1, 5), lambda x: x.cast("double")))
     return table(spark, sf_dir, "embeddings").select("vec_id", tagging.decode(rows, ["A", "B"]).alias("tags"))
 
 

@@ -202,10 +202,10 @@ def hybrid_head(spark, sf_dir):
 _TAGS = ["O", "B-A", "I-A", "B-B", "I-B"]
 _ALLOWED = {(i, j): 0.0 if _TAGS[j][0] != "I" or _TAGS[i] in (f"B{_TAGS[j][1:]}", f"I{_TAGS[j][1:]}") else -10000.0 for i in range(5) for j in range(5)}
 _STEP = [f"[{', '.join(f's[{i + 1}] + ({_ALLOWED[i, j]})' for i in range(5))}]" for j in range(5)]
-Q.SQL["viterbi_tags"] = f"""WITH RECURSIVE e AS (SELECT vec_id, list_transform(range(12), lambda k: list_transform(embedding[k * 5 + 1:k * 5 + 5], lambda x: x::DOUBLE)) AS m FROM embeddings),
+Q.SQL["viterbi_tags"] = f"""WITH RECURSIVE e AS (SELECT vec_id, list_transform(range(13), lambda k: list_transform((embedding || embedding[1:1])[k * 5 + 1:k * 5 + 5], lambda x: x::DOUBLE)) AS m FROM embeddings),
 v AS (SELECT vec_id, 1 AS k, [{', '.join(f"m[1][{j + 1}] + ({-10000.0 if t[0] == 'I' else 0.0})" for j, t in enumerate(_TAGS))}] AS s, [{', '.join(f"['{t}']" for t in _TAGS)}] AS p FROM e
-UNION ALL SELECT v.vec_id, v.k + 1, [{', '.join(f'list_max({x}) + e.m[v.k + 1][{j + 1}]' for j, x in enumerate(_STEP))}], [{', '.join(f"list_append(p[list_position({x}, list_max({x}))], '{_TAGS[j]}')" for j, x in enumerate(_STEP))}] FROM v JOIN e USING (vec_id) WHERE v.k < 12)
-SELECT vec_id, p[list_position(s, list_max(s))] AS tags FROM v WHERE k = 12"""
+UNION ALL SELECT v.vec_id, v.k + 1, [{', '.join(f'list_max({x}) + e.m[v.k + 1][{j + 1}]' for j, x in enumerate(_STEP))}], [{', '.join(f"list_append(p[list_position({x}, list_max({x}))], '{_TAGS[j]}')" for j, x in enumerate(_STEP))}] FROM v JOIN e USING (vec_id) WHERE v.k < 13)
+SELECT vec_id, p[list_position(s, list_max(s))] AS tags FROM v WHERE k = 13"""
 
 # ---- localizers
 
