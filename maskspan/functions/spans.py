@@ -391,3 +391,16 @@ def format_bytes(n: Column | str) -> Column:
         text = F.concat(F.format_string(f"%.{places}f", x / limit), F.lit(f" {unit}"))
         out = F.when(x >= limit, text) if out is None else out.when(x >= limit, text)
     return out.otherwise(F.concat(col(n).cast("bigint").cast("string"), F.lit(" B")))
+
+
+def host_of(url: Column | str) -> Column:
+    return F.lower(F.regexp_extract(col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
+
+
+def host_config(url: Column | str, table: dict[str, str]) -> Column:
+    """The configuration of the first suffix in the table that the host ends with; null if there is none."""
+    host = host_of(url)
+    out = None
+    for suffix, name in table.items():
+        out = F.when(host.endswith(suffix), name) if out is None else out.when(host.endswith(suffix), name)
+    return F.lit(None).cast("string") if out is None else out

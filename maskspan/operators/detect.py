@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -113,6 +114,11 @@ class ModelDetector(Detector):
         return judged.select(*df.columns, S.dedupe(own).alias(out))
 
 
+def files_ready(*paths: str) -> Callable[[], bool]:
+    """A readiness test: all of a model's files are there, each with some content."""
+    return lambda: all(os.path.isfile(p) and os.path.getsize(p) > 0 for p in paths)
+
+
 _REGISTRY: dict[str, Callable[[], Detector]] = {
     "rules_pii": lambda: RuleDetector("rules_pii", "pii", R.PII_RULES),
     "rules_injection": lambda: RuleDetector("rules_injection", "injection", R.INJECTION_RULES),

@@ -52,6 +52,32 @@ def log_likelihood(emissions: np.ndarray, tags: list[int], start: np.ndarray, tr
     return float(gold - (top + np.log(np.exp(alpha - top).sum())))
 
 
+def viterbi_batch(many: list[np.ndarray], start: np.ndarray, transition: np.ndarray) -> list[list[int]]:
+    """D10 for sequences of any lengths at a time: one step of all sequences is one numpy operation; ended ones keep their state."""
+    size = np.array([len(m) for m in many], np.int64)
+    if not size.sum():
+        return [[] for _ in many]
+    n, k = int(size.max()), transition.shape[0]
+    padded = np.zeros((len(many), n, k))
+    padded[np.arange(n)[None, :] < size[:, None]] = np.concatenate([m.reshape(-1, k) for m in many])
+    score, same = start + padded[:, 0], np.arange(k)
+    back = np.empty((len(many), n, k), np.int32)
+    for t in range(1, n):
+        every = score[:, :, None] + transition
+        live = (t < size)[:, None]
+        back[:, t] = np.where(live, every.argmax(axis=1), same)
+        score = np.where(live, every.max(axis=1) + padded[:, t], score)
+    path = np.empty((len(many), n), np.int64)
+    path[:, -1] = score.argmax(axis=1)
+    for t in range(n - 1, 0, -1):
+        path[:, t - 1] = back[np.arange(len(many)), t, path[:, t]]
+    return [p[:m].tolist() for p, m in zip(path, size.tolist())]
+
+
+#: Sequences that are decoded at a time, which bounds the padded arrays.
+BATCH = 256
+
+
 def decode(emissions: Column | str, labels: list[str]) -> Column:
     """D10 for a column array<array<double>> of words x tags -> array<string>."""
     tags = tag_names(labels)
@@ -59,7 +85,15 @@ def decode(emissions: Column | str, labels: list[str]) -> Column:
 
     @F.pandas_udf("array<string>")
     def run(column: pd.Series) -> pd.Series:
-        return column.map(lambda m: None if m is None else [tags[k] for k in viterbi(np.array([list(r) for r in m], float).reshape(-1, len(tags)), start, transition)])
+        live = [k for k, m in enumerate(column) if m is not None]
+        # sequences of like length share a batch
+        live.sort(key=lambda k: len(column.iloc[k]))
+        out: list = [None] * len(column)
+        for at in range(0, len(live), BATCH):
+            own = live[at : at + BATCH]
+            for k, path in zip(own, viterbi_batch([np.array([list(r) for r in column.iloc[k]], float).reshape(-1, len(tags)) for k in own], start, transition)):
+                out[k] = [tags[x] for x in path]
+        return pd.Series(out, dtype=object)
 
     return run(emissions)
 

@@ -461,12 +461,7 @@ def gazetteer_hits(spark, sf_dir):
 @query("host_config", "SELECT page_id, CASE WHEN ends_with(h, 'example.com') THEN 'com' WHEN ends_with(h, 'example.org') THEN 'org' WHEN ends_with(h, 'example.net') THEN 'net' END AS config FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS h FROM pages)")
 def host_config(spark, sf_dir):
     """A fixed table of host suffixes: a conditional expression, no join."""
-    host = F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1)
-    pick = None
-    for suffix in ("com", "org", "net"):
-        test = host.endswith(f"example.{suffix}")
-        pick = F.when(test, suffix) if pick is None else pick.when(test, suffix)
-    return table(spark, sf_dir, "pages").select("page_id", pick.alias("config"))
+    return table(spark, sf_dir, "pages").select("page_id", S.host_config("url", {f"example.{x}": x for x in ("com", "org", "net")}).alias("config"))
 
 
 # ---- scalar operators

@@ -110,6 +110,51 @@ def scan_profiles(spark, sf_dir):
     return scan.scan(profiles(spark, sf_dir), policy="block").select("doc_id", "stats.pii_count", "stats.injection_count", "blocked", "stats.original_length")
 
 
+# ---- number rules
+
+
+def _number_hits(source: str) -> str:
+    """DuckDB: (doc_id, k, s, e, t) of the number rules' matches, before claiming: RE2 has no lookarounds, so each place that may begin a
+    match is tried with an anchored pattern, and of a rule's overlapping candidates the search takes the leftmost, again and again."""
+    parts = []
+    for k, (label, pattern) in enumerate(R.NUMBER_RULES):
+        before, after = r"\d", r"(?:\D|$)"
+        body = pattern
+        if pattern.startswith("(?<![\\dA-Z])"):
+            before, after, body = r"[\dA-Z]", r"(?:[^\dA-Z]|$)", pattern[len("(?<![\\dA-Z])") : -len("(?![\\dA-Z])")]
+        elif pattern.startswith("(?<!\\d)"):
+            body = pattern[len("(?<!\\d)") : -len("(?!\\d)")]
+        else:
+            before, body = "$^", pattern[: -len("(?!\\d)")]
+        full = f"^({body}){after}"
+        first = r"[\d가-힣]" if before == "$^" else r"[\dA-Z]"
+        # a cheap look at the place: what may stand first, and not behind what may not
+        parts.append(f"""SELECT doc_id, {k} AS k, (i - 1)::INTEGER AS s, (i - 1 + length(t))::INTEGER AS e, t, '{label}' AS label FROM (SELECT doc_id, i, regexp_extract(substring(text, i, 60), {Q._q(full)}, 1) AS t FROM (SELECT doc_id, text, unnest(list_filter(range(1, length(text) + 1), lambda i: regexp_matches(text[i], {Q._q(first)}) AND NOT (i > 1 AND regexp_matches(text[i - 1], {Q._q(before)})))) AS i FROM {source} WHERE regexp_matches(text, '\\d\\d'))) WHERE t <> ''""")
+    return " UNION ALL ".join(parts)
+
+
+def _claimed(source: str) -> str:
+    """DuckDB: a WITH clause whose last table has the hits that remain when earlier rules claim their places."""
+    return f"""WITH RECURSIVE a AS ({_number_hits(source)}),
+nx AS (SELECT x.*, y.s AS nxt FROM a x ASOF LEFT JOIN a y ON x.doc_id = y.doc_id AND x.k = y.k AND x.e <= y.s),
+f AS (SELECT * FROM nx QUALIFY row_number() OVER (PARTITION BY doc_id, k ORDER BY s) = 1 UNION ALL SELECT nx.* FROM f JOIN nx ON nx.doc_id = f.doc_id AND nx.k = f.k AND nx.s = f.nxt),
+h AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k, s) AS r FROM f),
+c AS (SELECT doc_id, 0::BIGINT AS r, []::STRUCT(s INTEGER, e INTEGER, t VARCHAR, label VARCHAR)[] AS acc FROM h GROUP BY doc_id UNION ALL SELECT c.doc_id, c.r + 1, CASE WHEN len(list_filter(acc, lambda y: y.s < h.e AND h.s < y.e)) = 0 THEN list_append(acc, struct_pack(s := h.s, e := h.e, t := h.t, label := h.label)) ELSE acc END FROM c JOIN h ON h.doc_id = c.doc_id AND h.r = c.r + 1),
+claimed AS (SELECT doc_id, u.s AS start, u.e AS "end", u.t AS text, u.label AS type, 0.9::DOUBLE AS confidence FROM (SELECT doc_id, unnest(acc) AS u FROM (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY r DESC) = 1)))"""
+
+
+Q.SQL["regex_claim_spans"] = _claimed("documents") + f""",
+model AS (SELECT doc_id, start, "end", txt AS text, type, conf AS confidence FROM ({Q.sql_spans(Q.EMAIL, Q.DIGITS)}) m WHERE NOT EXISTS (SELECT 1 FROM claimed x WHERE x.doc_id = m.doc_id AND x.start < m."end" AND m.start < x."end"))
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY start, "end", type) - 1)::INTEGER AS ord, type, start, "end", text, confidence, 'rule' AS source FROM (FROM claimed UNION ALL FROM model)"""
+
+
+@query("profile_number_spans", _claimed(f"({_PROFILES})") + ' SELECT doc_id, type, start, "end", text FROM claimed')
+def profile_number_spans(spark, sf_dir):
+    """Number rules on Korean texts, earlier rules claim their places."""
+    hits = detect.spread(profiles(spark, sf_dir)).select("doc_id", S.number_hits("text").alias("spans"))
+    return detect.explode_spans(hits, "doc_id").select("doc_id", "type", "start", "end", "text")
+
+
 # ---- gazetteer hits and token features
 
 _GAZ = Q.SQL["gazetteer_build"]

@@ -175,6 +175,26 @@ def test_head_parts(spark):
     assert hits.select(heads.token_features("h", "t", ["A", "B"]).alias("f")).first().f == [[1, 0], [0, 0], [1, 1], [0, 0]]
 
 
+def test_viterbi_in_batches_equals_one_by_one():
+    from maskspan.operators import tagging
+
+    rng = np.random.default_rng(5)
+    tags = tagging.tag_names(["A", "B"])
+    start, transition = tagging.bio_constraints(tags)
+    many = [rng.normal(size=(n, len(tags))).round(1) for n in [0, 1, 2, 7, 7, 30, 3, 0, 12]]
+    assert tagging.viterbi_batch(many, start, transition) == [tagging.viterbi(m, start, transition) for m in many]
+    assert tagging.viterbi_batch([], start, transition) == [] and tagging.viterbi_batch([many[0]], start, transition) == [[]]
+
+
+def test_readiness_and_hosts(spark, tmp_path):
+    (tmp_path / "a").write_text("x")
+    (tmp_path / "b").write_text("")
+    assert detect.files_ready(str(tmp_path / "a"))() and not detect.files_ready(str(tmp_path / "a"), str(tmp_path / "b"))() and not detect.files_ready(str(tmp_path / "c"))()
+    urls = ["https://chat.Example.com/x", "http://u@example.org:80?q", "ftp://other.net", "nonsense", None]
+    df = spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "k int, u string")
+    assert [r.c for r in df.select("k", S.host_config("u", {"example.com": "one", "org": "two"}).alias("c")).orderBy("k").collect()] == ["one", "two", None, None, None]
+
+
 # ---- events
 
 
