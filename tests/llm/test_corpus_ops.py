@@ -308,6 +308,59 @@ def test_simhash_finds_a_text_with_its_beginning_again(spark):
     assert {(k + 60, k) for k in near} <= {tuple(r) for r in simhash.duplicates(docs, tile=9).collect()}
 
 
+def _planted_signatures(rng, n):
+    """Random signatures, half of them with copies at 0 to 30 changed bits: some of which a part's bounds just hold."""
+    a = np.zeros(n, simhash._ROW)
+    a["s0"], a["s1"] = rng.integers(0, 1 << 64, (2, n), dtype=np.uint64)
+    a["doc"] = rng.permutation(n)
+    for k in range(1, n, 2):
+        flips = rng.permutation(128)[: rng.integers(0, 31)] if k % 4 == 1 else np.concatenate([32 * q + rng.permutation(32)[:d] for q, d in enumerate((5, 7, 7, 7) if k % 8 == 3 else (6, 6, 7, 7))])
+        for name, low in (("s0", 0), ("s1", 64)):
+            word = sum(1 << int(b - low) for b in flips if low <= b < low + 64)
+            a[name][k] = a[name][k - 1] ^ np.uint64(word)
+    return a
+
+
+def test_simhash_parts_find_every_pair_of_brute_force():
+    a = _planted_signatures(np.random.default_rng(8), 1200)
+    for radius in (0, 2, 3, 9, 26):
+        i, j = simhash.close_pairs(a, a, radius, True)
+        found = set()
+        for k, c, d in simhash._tasks(radius, 2):
+            quarter, half, _, _ = simhash.parts(radius)[k]
+            cell = simhash._value(simhash._quarter(a, quarter), half) >> np.uint16(14)
+            u, v = simhash._by_part(a[(cell == c) | (cell == d)], simhash.parts(radius)[k], (c, d), 2, radius)
+            found |= set(zip(u.tolist(), v.tolist()))
+        # the planted pairs are alone, so that their edges are the pairs
+        wanted = {frozenset(x) for x in zip(a["doc"][i].tolist(), a["doc"][j].tolist())}
+        assert {frozenset(x) for x in found} == wanted
+    assert len(wanted) >= 400
+
+
+def test_simhash_by_parts_agrees_with_tiles(spark, sample):
+    rng = random.Random(9)
+    texts = [t for _, t in sample]
+    docs = rows(spark, texts + [" ".join(w if rng.random() > 0.03 else "zz" + w for w in t.split()) for t in texts])
+    tiles = {tuple(r) for r in simhash.duplicates(docs).collect()}
+    assert {tuple(r) for r in simhash.duplicates(docs, direct=0).collect()} == tiles
+    assert len(tiles) >= 50
+
+
+def test_simhash_by_parts_compares_few_pairs(monkeypatch):
+    """Of random signatures a part looks at the pairs within its bound, not at all: what made the large table run out of time."""
+    rng = np.random.default_rng(10)
+    a = np.zeros(4000, simhash._ROW)
+    a["s0"], a["s1"] = rng.integers(0, 1 << 64, (2, len(a)), dtype=np.uint64)
+    looked = []
+    xor = np.bitwise_xor
+    monkeypatch.setattr(simhash.np, "bitwise_xor", lambda x, y, out: looked.append(out.size) or xor(x, y, out=out))
+    for k, c, d in simhash._tasks(simhash.RADIUS, 2):
+        part = simhash.parts(simhash.RADIUS)[k]
+        cell = simhash._value(simhash._quarter(a, part[0]), part[1]) >> np.uint16(14)
+        simhash._by_part(a[(cell == c) | (cell == d)], part, (c, d), 2, simhash.RADIUS)
+    assert sum(looked) < 0.06 * len(a) ** 2 / 2
+
+
 def test_simhash_awkward(spark):
     out = sorted(tuple(r) for r in simhash.duplicates(awkward(spark)).collect())
     assert out == [(7, 6)]
