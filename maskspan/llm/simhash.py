@@ -350,6 +350,6 @@ def duplicates(docs: DataFrame, radius: int = RADIUS, tile: int = TILE, direct:
     return groups.where("doc_id <> duplicate_of").distinct()
 
 
-def keep_one(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+def keep_one(docs: DataFrame, radius: int = RADIUS, tile: int = TILE, direct: int = DIRECT) -> DataFrame:
     """The documents without the duplicates: of each group the one with the least doc_id stays."""
-    return _spark.without(docs, duplicates(docs, radius, tile))
+    return _spark.without(docs, duplicates(docs, radius, tile, direct))

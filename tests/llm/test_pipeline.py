@@ -4,6 +4,7 @@ import random
 from pathlib import Path
 
 import corpus_pipeline
+from maskspan.llm import simhash
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -74,3 +75,18 @@ def test_stages_on_awkward_tables(spark, tmp_path):
         assert out.count() == kept[name], name
         assert name == "bpe" or out.schema.simpleString() == docs.schema.simpleString()
         assert stage(spark, docs.limit(0), folder).count() == 0
+
+
+def test_near_copies_go_by_parts_as_by_tiles(spark, tmp_path):
+    """Stage 2 on a table that is compared by parts, with texts of few words, some in many near copies."""
+    rng = random.Random(5)
+    words = [f"word{k}" for k in range(400)]
+    texts = [" ".join(rng.choices(words, k=rng.choice((5, 40, 120)))) for _ in range(150)]
+    for k in range(200):
+        base = texts[k % 20].split()
+        base[rng.randrange(len(base))] = f"other{k}"
+        texts.append(" ".join(base))
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path)).collect()}
+    assert {r.doc_id for r in simhash.keep_one(docs, direct=0).collect()} == kept
+    assert 150 <= len(kept) < 300
