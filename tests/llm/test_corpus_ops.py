@@ -785,6 +785,31 @@ def test_overlapping_windows_meet_across_many_others():
     assert len(substring.overlapping(*rows)) == 1
 
 
+def test_passages_read_an_earlier_text_once(monkeypatch):
+    """Many documents against one long earlier text: the same passages as pair by pair, without reading that text for each of them."""
+    rng = random.Random(12)
+    text = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    long, other = text(5000), text(300)
+    words = long.split()
+    data = [(10 + k, k, text(10) + " " + " ".join(words[40 * k : 40 * k + 60 + k]) + " " + text(10), 1, long, 77) for k in range(60)]
+    data += [(100, 5, other + " " + other, 2, other, 78), (100, 5, other + " " + other, 2, other, 78)]
+    repeat = text(5) + " " + " ".join([" ".join(words[:70])] * 2)
+    data += [(3, 9, repeat, 3, repeat, 9), (3, 9, repeat, 3, repeat, 9), (3, 9, text(200), 3, repeat, 9)]
+    rng.shuffle(data)
+    data.sort(key=lambda r: r[3])
+    names = ["doc", "text_key", "a_text", "of", "b_text", "b_key"]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[k] for r in data], pa.string() if k in (2, 4) else pa.int64()) for k in range(6)], names=names)
+    told = lambda parts, both: sorted(str(r) for p in parts for out in substring._verify(both)([p]) for r in out.to_pylist())
+    pairs = [batch.slice(k, 1) for k in range(batch.num_rows)]
+    wanted = {both: told(pairs, both) for both in (False, True)}
+    read = []
+    tokens = substring._tokens
+    monkeypatch.setattr(substring, "_tokens", lambda column: read.append(column.nbytes) or tokens(column))
+    assert told([batch], False) == wanted[False] and len(wanted[False]) >= 60
+    assert sum(read) < 8 * len(long)
+    assert told([batch], True) == wanted[True]
+
+
 @pytest.mark.parametrize("hot", [substring.HOT, 1])
 def test_every_exact_repeat_is_found(spark, hot, monkeypatch):
     """Brute force over all runs of 50 words: documents made of pieces of one another, earlier fragments, common lines."""
