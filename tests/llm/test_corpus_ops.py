@@ -670,6 +670,12 @@ def test_lm_ties_go_to_the_lesser_phrase(spark):
     assert lmscore.dictionaries(counts, 11) == (b"bbbb aaaa", b"bbbb aaaa")
 
 
+def test_lm_finds_all_of_a_large_dictionary():
+    content = np.random.default_rng(11).integers(0, 256, lmscore.MOST, dtype=np.uint8).tobytes()
+    for at in (1000, len(content) // 3, len(content) - 5000):
+        assert lmscore.block_sizes(content[at : at + 2000], [0, 2000], content)[0] < 100
+
+
 def test_lm_score_tells_the_domain(spark):
     rng = random.Random(9)
     vocab = {d: ["".join(rng.choice(l) for _ in range(7)) for _ in range(300)] for d, l in ((0, "abcdefgh"), (1, "mnopqrst"))}
