@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.spans import let
+
 
 def type_counts(spans: DataFrame, *keys: str) -> DataFrame:
     """A1: one row a key: type_counts map<type, n>; two aggregations on the same key prefix."""
@@ -108,12 +110,11 @@ def best_bias(scored: DataFrame, biases: list[float]) -> DataFrame:
 
 
 def softmax(logits: Column, bias: Column | float = 0.0, biased: int = 0) -> Column:
-    """Probabilities of logits after a bias on one of them."""
+    """Probabilities of logits after a bias on one of them.  The maximum and the total are reckoned once a row: inside the lambdas
+    they would be reckoned for every number, within each other, and cost the cube of the width."""
     moved = F.transform(logits, lambda x, i: x + F.when(i == biased, F.lit(bias)).otherwise(0.0))
-    top = F.array_max(moved)
-    e = F.transform(moved, lambda x: F.exp(x - top))
-    total = F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(e, lambda x: x / total)
+    powers = let(moved, lambda m: let(F.array_max(m), lambda top: F.transform(m, lambda x: F.exp(x - top))))
+    return let(powers, lambda e: let(F.aggregate(e, F.lit(0.0), lambda a, x: a + x), lambda total: F.transform(e, lambda x: x / total)))
 
 
 def sample_seed(key: Column, seed: int) -> Column:

@@ -497,3 +497,17 @@ def test_line_search_masks_what_its_sql_masks(spark, tmp_path):
     assert sorted(found) == sorted(db.execute(Q.SQL["search_masked_lines"]).fetchall()) and len(found) == 3
     # the tool itself masks by all rules
     assert scan.search_lines(frame(spark, [line]), "@", 5).first().line == "write to [이메일 마스킹], card [카드번호 마스킹]"
+
+
+def test_softmax_grows_with_the_width_only(spark):
+    """500 numbers: the maximum and the total once a row, not once a number of each other."""
+    wide = [[((7 * i + k) % 101) / 10 for k in range(500)] for i in range(6)]
+    began = time.time()
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(wide)], "i int, l array<double>").coalesce(1).select("i", stats.softmax(F.col("l"), 0.5, 1).alias("p")).collect()
+    took = time.time() - began
+    for r in rows:
+        e = np.exp(np.array(wide[r.i]) + 0.5 * (np.arange(500) == 1))
+        assert np.allclose(r.p, e / e.sum(), rtol=1e-12)
+    odd = spark.createDataFrame([(None,), ([],), ([1.0, None],)], "l array<double>").select(stats.softmax(F.col("l")).alias("p")).collect()
+    assert [r.p for r in odd] == [None, [], [None, None]]
+    assert took < 10
