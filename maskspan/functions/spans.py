@@ -54,26 +54,33 @@ def gate(text: Column, needs: str | tuple, known: dict[str, Column] | None = Non
     return text.contains(needs) if len(needs) == 1 else text.rlike(needs)
 
 
+#: Stands around matches while offsets are taken; a text that holds it goes another way.
+MARK = "\x01"
+
+
 def matches(text: Column | str, pattern: str, group: str = "whole", needs: str | tuple | None = None, known: dict[str, Column] | None = None) -> Column:
-    """Offsets of all matches.  Spark has the matches and the pieces between them; a fold adds up their lengths.
-    Texts without a match, nearly all of them, never reach the fold."""
+    """Offsets of all matches.  One pass of the pattern puts marks around them, the text is cut at the marks, and a fold adds up the
+    lengths of the pieces.  Texts without a match, nearly all of them, never reach the fold."""
     t, p = col(text), F.lit(pattern)
-    whole, between = F.regexp_extract_all(t, p, F.lit(0)), F.split(t, pattern, -1)
-    part = whole if group == "whole" else F.regexp_extract_all(t, p, F.lit(1))
-    zipped = F.arrays_zip(F.slice(between, 1, F.size(whole)).alias("gap"), whole.alias("hit"), part.alias("part"))
     start = F.struct(F.lit(0).alias("at"), empty(OFFSETS).alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        lo = acc["at"] + F.length(x["gap"])
-        hi = lo + F.length(x["hit"])
-        first = hi - F.length(x["part"]) if group == "suffix" else lo
-        last = lo + F.length(x["part"]) if group == "prefix" else hi
-        return F.struct(hi.alias("at"), F.concat(acc["out"], F.array(F.struct(first.alias("start"), last.alias("end"), x["part"].alias("text")))).alias("out"))
-
-    there = t.rlike(pattern)
-    if needs is not None:
-        there = gate(t, needs, known) & there
-    return F.when(there, F.aggregate(zipped, start, step, lambda acc: acc["out"])).otherwise(empty(OFFSETS))
+    def step(acc: Column, gap: Column, hit: Column, part: Column) -> Column:
+        lo = acc["at"] + F.length(gap)
+        hi = lo + F.length(hit)
+        first = hi - F.length(part) if group == "suffix" else lo
+        last = lo + F.length(part) if group == "prefix" else hi
+        return F.struct(hi.alias("at"), F.concat(acc["out"], F.array(F.struct(first.alias("start"), last.alias("end"), part.alias("text")))).alias("out"))
+
+    # gap, hit (and part) by turns, then the rest
+    wide = 2 if group == "whole" else 3
+    marked = F.regexp_replace(t, pattern, MARK + "$0" + MARK + ("" if group == "whole" else "$1" + MARK))
+    cuts = lambda v: F.aggregate(F.sequence(F.lit(0), F.size(v) - 2, F.lit(wide)), start, lambda acc, k: step(acc, F.get(v, k), F.get(v, k + 1), F.get(v, k + wide - 1)), lambda acc: acc["out"])
+    quick = let(marked, lambda m: F.when(m.contains(MARK), let(F.split(m, MARK, -1), cuts)).otherwise(empty(OFFSETS)))
+    # a text with marks of its own: the matches and the pieces between them, a pass for each
+    whole = F.regexp_extract_all(t, p, F.lit(0))
+    zipped = F.arrays_zip(F.slice(F.split(t, pattern, -1), 1, F.size(whole)).alias("gap"), whole.alias("hit"), (whole if group == "whole" else F.regexp_extract_all(t, p, F.lit(1))).alias("part"))
+    slow = F.when(t.rlike(pattern), F.aggregate(zipped, start, lambda acc, x: step(acc, x["gap"], x["hit"], x["part"]), lambda acc: acc["out"])).otherwise(empty(OFFSETS))
+    return F.when(t.isNotNull() if needs is None else gate(t, needs, known), F.when(t.contains(MARK), slow).otherwise(quick)).otherwise(empty(OFFSETS))
 
 
 def digits(text: Column) -> Column:

@@ -511,3 +511,12 @@ def test_softmax_grows_with_the_width_only(spark):
     odd = spark.createDataFrame([(None,), ([],), ([1.0, None],)], "l array<double>").select(stats.softmax(F.col("l")).alias("p")).collect()
     assert [r.p for r in odd] == [None, [], [None, None]]
     assert took < 10
+
+
+def test_matches_in_texts_with_marks(spark):
+    """Offsets are taken from marks around the matches: a text that holds the mark itself goes another way, with the same results."""
+    texts = [x for t in TEXTS for x in (t, S.MARK, S.MARK + t, t + S.MARK * 2, t.replace(" ", S.MARK), t.replace("1", S.MARK + "1"))] + ["성명 홍길동$1\\성명 김철수$0", "a@b.co" * 3]
+    for rules in (R.PII_RULES, R.INJECTION_RULES, (R.Rule("A", r"a(b+)", 0.5, "suffix"), R.Rule("B", r"(?i)(b)A", 0.5, "prefix"))):
+        given = texts + ["ab a AB bab abbb", None]
+        for r in frame(spark, given).select("text", S.rule_spans("text", rules).alias("s")).collect():
+            assert [tup(x) for x in r.s] == ([] if r.text is None else python_spans(r.text, rules))
