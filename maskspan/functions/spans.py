@@ -89,18 +89,24 @@ def digits(text: Column) -> Column:
 
 def luhn(text: Column | str) -> Column:
     """The card checksum; text without a digit fails."""
-    d = F.filter(digits(col(text)), lambda x: x.isNotNull())
-    n = F.size(d)
-    doubled = F.transform(d, lambda x, i: F.when((n - i) % 2 == 0, F.when(x > 4, 2 * x - 9).otherwise(2 * x)).otherwise(x))
-    return (n > 0) & (F.aggregate(doubled, F.lit(0), lambda a, x: a + x) % 10 == 0)
+
+    def check(d: Column) -> Column:
+        n = F.size(d)
+        doubled = F.transform(d, lambda x, i: F.when((n - i) % 2 == 0, F.when(x > 4, 2 * x - 9).otherwise(2 * x)).otherwise(x))
+        return (n > 0) & (F.aggregate(doubled, F.lit(0), lambda a, x: a + x) % 10 == 0)
+
+    return let(F.filter(digits(col(text)), lambda x: x.isNotNull()), check)
 
 
 def rrn(text: Column | str) -> Column:
     """The weighted modulo-11 checksum of 13-digit resident numbers."""
-    d = F.filter(digits(col(text)), lambda x: x.isNotNull())
     weights = F.array(*(F.lit(w) for w in (2, 3, 4, 5, 6, 7, 8, 9, 2, 3, 4, 5)))
-    total = F.aggregate(F.zip_with(F.slice(d, 1, 12), weights, lambda a, b: a * b), F.lit(0), lambda a, x: a + x)
-    return F.when(F.size(d) == 13, (11 - total % 11) % 10 == F.get(d, F.lit(12))).otherwise(False)
+
+    def check(d: Column) -> Column:
+        total = F.aggregate(F.zip_with(F.slice(d, 1, 12), weights, lambda a, b: a * b), F.lit(0), lambda a, x: a + x)
+        return F.when(F.size(d) == 13, (11 - total % 11) % 10 == F.get(d, F.lit(12))).otherwise(False)
+
+    return let(F.filter(digits(col(text)), lambda x: x.isNotNull()), check)
 
 
 def rule_spans(text: Column | str, rules: Sequence[R.Rule] = R.PII_RULES, source: str = "rule", known: dict[str, Column] | None = None) -> Column:
@@ -145,12 +151,13 @@ def correct_entities(text: Column | str, entities: Column) -> Column:
 
 def dedupe(items: Column) -> Column:
     """Sorted by (start, end, falling confidence, order), the first of each (type, start, end).  Equal ones are neighbours after a
-    sort that has the type third, so each is compared with one other: n log n however many there are."""
-    keyed = F.array_sort(F.transform(items, lambda x, i: F.struct(x["start"].alias("s"), x["end"].alias("e"), x["type"].alias("t"), (-x["confidence"]).alias("c"), i.alias("i"), x.alias("x"))))
+    sort that has the type third, so each is compared with one other: n log n however many there are.  sort_array compares natively,
+    where array_sort evaluates a lambda twice a comparison."""
+    keyed = F.sort_array(F.transform(items, lambda x, i: F.struct(x["start"].alias("s"), x["end"].alias("e"), x["type"].alias("t"), (-x["confidence"]).alias("c"), i.alias("i"), x.alias("x"))))
     same = lambda a, b: (a["s"] == b["s"]) & (a["e"] == b["e"]) & a["t"].eqNullSafe(b["t"])
     first = lambda v: F.filter(v, lambda k, i: (i == 0) | ~same(k, F.get(v, i - 1)))
     order = lambda k: F.struct(k["s"], k["e"], k["c"], k["i"], k["x"].alias("x"))
-    return let(keyed, lambda v: F.transform(F.array_sort(F.transform(first(v), order)), lambda k: k["x"]))
+    return let(keyed, lambda v: F.transform(F.sort_array(F.transform(first(v), order)), lambda k: k["x"]))
 
 
 def shift(items: Column, by: Column, text: Column) -> Column:

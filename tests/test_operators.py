@@ -520,3 +520,14 @@ def test_matches_in_texts_with_marks(spark):
         given = texts + ["ab a AB bab abbb", None]
         for r in frame(spark, given).select("text", S.rule_spans("text", rules).alias("s")).collect():
             assert [tup(x) for x in r.s] == ([] if r.text is None else python_spans(r.text, rules))
+
+
+def test_checksum_of_long_numbers(spark):
+    """The digits are taken from the text once, not once a digit: 30 numbers of 4,000 digits."""
+    values = ["%d" % (10**3999 + 7 * k) for k in range(30)]
+    rows = spark.createDataFrame([(v,) for v in values], "v string").coalesce(1)
+    rows.limit(1).select(S.luhn("v")).collect()
+    began = time.time()
+    found = rows.select("v", S.luhn("v").alias("l"), S.rrn("v").alias("r")).collect()
+    assert time.time() - began < 6
+    assert [(r.l, r.r) for r in found] == [(py_luhn(v), False) for v in values]
