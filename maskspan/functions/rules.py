@@ -123,7 +123,9 @@ _REGION_LONG = ("강원도", "경상남도", "경상북도", "전라남도", "
 _REGION_SHORT = "강원 경기 경남 경북 광주 대구 대전 부산 서울 세종 울산 인천 전남 전북 제주 충남 충북".split()
 _PLATE_KANA = "".join("가나다라마바사아자차카타파하 거너더러머버서어저처커터퍼허 고노도로모보소오조초코토포호 구누두루무부수우주".split())
 
-#: In order of priority: an earlier rule's hit claims its place.
+_PLATE = r"\d{2,3}[" + _PLATE_KANA + r"]\s?" + _FOUR + r"(?!\d)"
+
+#: In order of priority: an earlier rule's hit claims its place.  None matches a text without DIGITS.
 NUMBER_RULES: tuple[tuple[str, str], ...] = (
     ("QT_DRIVER_NUMBER", _alone("-".join([r"\d{2}", r"\d{2}", r"\d{6}", r"\d{2}"]))),
     ("QT_CARD_NUMBER", _alone(r"[-\s]".join([_FOUR] * 4))),
@@ -132,10 +134,13 @@ NUMBER_RULES: tuple[tuple[str, str], ...] = (
     ("QT_ALIEN_NUMBER", r"(?<![\dA-Z])[A-Z]" + _SIX * 2 + r"(?![\dA-Z])"),
     ("QT_MOBILE", _alone("01[016-9]" + _GAP + r"\d{3,4}" + _GAP + _FOUR)),
     ("QT_PHONE", _alone(r"0(?:2|[3-9]\d)-\d{3,4}-" + _FOUR)),
-    ("QT_PLATE_NUMBER", "(?:" + _any(*_REGION_LONG, *_REGION_SHORT) + _SP + r")?\d{2,3}[" + _PLATE_KANA + r"]\s?" + _FOUR + r"(?!\d)"),
+    ("QT_PLATE_NUMBER", "(?:" + _any(*_REGION_LONG, *_REGION_SHORT) + _SP + ")?" + _PLATE),
     ("QT_ACCOUNT_NUMBER", _alone(r"\d{3,4}-\d{3,4}-\d{3,6}")),
 )
 
+#: What a number rule needs besides DIGITS: the region that may come first is dear to look for at every letter.
+NUMBER_NEEDS = {"QT_PLATE_NUMBER": _PLATE}
+
 #: The model's 19 labels in terms of the 10 types.
 LABEL_TYPE = {
     **dict.fromkeys(("QT_MOBILE", "QT_PHONE"), "PHONE"),

@@ -531,3 +531,16 @@ def test_checksum_of_long_numbers(spark):
     found = rows.select("v", S.luhn("v").alias("l"), S.rrn("v").alias("r")).collect()
     assert time.time() - began < 6
     assert [(r.l, r.r) for r in found] == [(py_luhn(v), False) for v in values]
+
+
+def test_number_rules_pass_over_texts_without_numbers(spark):
+    """30 million letters without two digits in a row, then the same hits as ever where there are some."""
+    words = F.repeat(F.when(F.col("id") % 2 == 0, "serge wi1l ").otherwise("kang wo "), 25_000)
+    rows = spark.range(120).coalesce(1)
+    rows.limit(1).select(S.number_hits(F.concat(F.lit("12"), F.col("id").cast("string")))).collect()
+    began = time.time()
+    assert rows.select(F.size(S.number_hits(words)).alias("n")).agg(F.sum("n").alias("n")).first().n == 0
+    assert time.time() - began < 4
+    texts = ["서울 12가 3456", "경기  123나4567 12다 34567", "12가3456서울 12가 3456", "1", "12", None]
+    for r in frame(spark, texts).select("text", S.number_hits("text").alias("h")).collect():
+        assert [(x["type"], x["start"], x["end"]) for x in r.h] == ([] if r.text is None else py_claim(r.text))
